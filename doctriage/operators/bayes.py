@@ -45,17 +45,16 @@ def fit_bayes(docs: DataFrame, key: str, text: str | Column, label: str,
     docs = docs.filter(F.col(label).isNotNull())
     counts = class_counts(docs, label)
     classes, n_docs = list(counts), sum(counts.values())
-    idf = fit_idf(docs, key, text)
+    idf = fit_idf(docs, key, text, n_docs)
     weights = tfidf_weights(term_counts(docs, key, text, label), key, idf, limit)
-    sums = weights.groupBy("term").agg(*[
+    # Each fitted term occurs in some document, so its idf comes along with the sums.
+    sums = written(weights.groupBy("term", "df", "idf").agg(*[
         F.sum(F.when(F.col(label) == c, F.col("weight")).otherwise(0.0)).alias(f"lp_{i}")
-        for i, c in enumerate(classes)])
-    sums = written(sums, "bayes-sums")
+        for i, c in enumerate(classes)]), "bayes-sums")
     totals = sums.agg(*[F.sum(f"lp_{i}").alias(f"lp_{i}") for i in range(len(classes))]).first()
-    likelihood = [F.log((F.col(f"lp_{i}") + alpha) / ((totals[i] or 0.0) + alpha * idf.n_terms))
-                  .alias(f"lp_{i}") for i in range(len(classes))]
-    # Both tables have one row per term and no hot key, so a plain join is even.
-    terms = written(idf.table.join(sums.select("term", *likelihood), "term"), "bayes-terms")
+    terms = sums.select("term", "df", "idf", *[
+        F.log((F.col(f"lp_{i}") + alpha) / ((totals[i] or 0.0) + alpha * idf.n_terms))
+        .alias(f"lp_{i}") for i in range(len(classes))])
     return BayesModel(classes, [math.log(n / n_docs) for n in counts.values()], terms,
                       idf.n_terms, n_docs)
 

@@ -21,6 +21,7 @@ from doctriage.operators.vectors import label_index
 INVERSE_STRENGTH = 1e5              # fixed value: C of the logistic regression
 SVM_PENALTY = 1e-3                  # fixed value: alpha of the linear SVM
 HIDDEN_UNITS = 512                  # fixed value: width of the hidden layer
+ROWS_PER_TASK = 5_000               # an iterating solver pays per task and iteration
 
 
 def naive_bayes(n_train: int, n_classes: int) -> Estimator:
@@ -30,14 +31,14 @@ def naive_bayes(n_train: int, n_classes: int) -> Estimator:
 def linear_svm(n_train: int, n_classes: int, max_iter: int = 100) -> Estimator:
     """Hinge loss, one against the rest; gives labels but no probabilities."""
     return OneVsRest(classifier=LinearSVC(regParam=SVM_PENALTY, maxIter=max_iter,
-                                          standardization=False, aggregationDepth=3),
+                                          standardization=False),
                      labelCol="label_index", parallelism=4)
 
 
 def logistic_regression(n_train: int, n_classes: int, max_iter: int = 100) -> Estimator:
     return LogisticRegression(family="multinomial", labelCol="label_index", maxIter=max_iter,
                               regParam=1.0 / (INVERSE_STRENGTH * n_train),
-                              standardization=False, aggregationDepth=3)
+                              standardization=False)
 
 
 def neural_network(inputs: int, hidden: int = HIDDEN_UNITS, max_iter: int = 100,
@@ -59,14 +60,17 @@ def fit_classifier(train: DataFrame, feature_stages: list, label: str,
                    learner: Callable[[int, int], Estimator]) -> Fitted:
     """Chain feature stages, label index, learner and label names into one model.
 
-    Features are computed once and kept while the solver iterates over them.
+    Features are computed once, in parallel, and kept while the solver iterates over
+    them; a small training set is then held by few tasks, a large one by all.
     """
     features = PipelineModel(stages=feature_stages).transform(train)
     index = label_index(label).fit(train)
     ready = (index.transform(features).select("features", "label_index")
              .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        model = learner(ready.count(), len(index.labels)).fit(ready)
+        n_train = ready.count()
+        tasks = -(-n_train // ROWS_PER_TASK)
+        model = learner(n_train, len(index.labels)).fit(ready.coalesce(max(1, tasks)))
     finally:
         ready.unpersist()
     names = IndexToString(inputCol="prediction", outputCol="predicted_label",

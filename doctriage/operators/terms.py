@@ -23,15 +23,26 @@ def term_counts(docs: DataFrame, key: str, text: str | Column, *carry: str) -> D
     return count_words(words, key, *carry)
 
 
+def each_term(docs: DataFrame, *columns: str | Column, words: str | Column) -> DataFrame:
+    """One row per word of ``words``, in a column ``term``.
+
+    The outer form with a filter behind it is deliberate: a plain ``explode`` makes the
+    optimizer test the array for emptiness below the projection, which would clean and
+    tokenise every text three times.
+    """
+    return (docs.select(*columns, F.explode_outer(words).alias("term"))
+            .filter(F.col("term").isNotNull()))
+
+
 def count_words(words: DataFrame, key: str, *carry: str) -> DataFrame:
-    return (words.select(key, *carry, F.explode("words").alias("term"))
+    return (each_term(words, key, *carry, words="words")
             .groupBy(key, *carry, "term").agg(F.count("*").alias("tf")))
 
 
 def document_frequency(docs: DataFrame, text: str | Column) -> DataFrame:
     """``(term, df)``. Distinct terms per document come from the row itself, so the
     only shuffle is of partial counts by term."""
-    return (docs.select(F.explode(F.array_distinct(word_tokens(text))).alias("term"))
+    return (each_term(docs, words=F.array_distinct(word_tokens(text)))
             .groupBy("term").agg(F.count("*").alias("df")))
 
 
@@ -72,9 +83,9 @@ class Idf:
     n_terms: int
 
 
-def fit_idf(docs: DataFrame, key: str, text: str | Column) -> Idf:
+def fit_idf(docs: DataFrame, key: str, text: str | Column, n_docs: int | None = None) -> Idf:
     """``idf = ln((1 + n) / (1 + df)) + 1`` over the given documents."""
-    n_docs = docs.select(key).count()
+    n_docs = docs.select(key).count() if n_docs is None else n_docs
     table = document_frequency(docs, text).withColumn(
         "idf", F.log(F.lit(float(1 + n_docs)) / (F.col("df") + 1)) + 1)
     table = written(table, "idf")
@@ -83,19 +94,20 @@ def fit_idf(docs: DataFrame, key: str, text: str | Column) -> Idf:
 
 def tfidf_weights(counts: DataFrame, key: str, idf: Idf,
                   limit: int = BROADCAST_TERMS) -> DataFrame:
-    """``(key, ..., term, tf, weight)``, each document of unit length; unseen terms drop.
+    """``(key, ..., term, tf, df, idf, weight)``, each document of unit length; unseen
+    terms drop.
 
     The window groups by document only, and a document is one input row's terms.
     """
     raw = join_terms(counts, idf.table, idf.n_terms, limit=limit).withColumn(
         "raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.withColumn("weight", F.col("raw") / norm).drop("raw", "idf", "df")
+    return raw.withColumn("weight", F.col("raw") / norm).drop("raw")
 
 
 def top_terms(docs: DataFrame, text: str | Column, max_words: int = 1000) -> DataFrame:
     """``(term, n, index)``: the most used terms. Index 0 is reserved, so one fewer."""
-    counts = (docs.select(F.explode(filterset_tokens(text)).alias("term"))
+    counts = (each_term(docs, words=filterset_tokens(text))
               .groupBy("term").agg(F.count("*").alias("n")))
     top = counts.orderBy(F.desc("n"), "term").limit(max_words - 1)
     order = Window.orderBy(F.desc("n"), "term")          # over max_words - 1 rows at most

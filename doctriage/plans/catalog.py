@@ -22,12 +22,12 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function name, with the SQL that must agree."""
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's or the given name, with its SQL check."""
     def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        QUERIES[name or fn.__name__] = fn
         if sql:
-            SQL[fn.__name__] = sql
+            SQL[name or fn.__name__] = sql
         return fn
     return register
 
@@ -48,9 +48,18 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 def corpus_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Cleaned ``(doc_id, lang, text)``: train and test part."""
+    return splits.hold_out(cleaned_corpus(spark, folder), "doc_id")
+
+
+def cleaned_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """The cleaned documents as a written table.
+
+    Fitting reads the texts several times; cleaning costs many times the CPU of reading
+    a cleaned text back, so it is done once.
+    """
     cleaned = documents(spark, folder, "doc_id", "lang", "text").withColumn(
         "text", clean_text("text"))
-    return splits.hold_out(cleaned, "doc_id")
+    return written(cleaned, "clean-corpus")
 
 
 # ---- rows, counts, labels ------------------------------------------------------------
@@ -110,14 +119,15 @@ def clean_documents(spark, folder):
     return documents(spark, folder).select("doc_id", clean_text("text").alias("text"))
 
 
-@query(f"SELECT page_id, {S.html_sql('html')} AS text FROM pages")
-def page_text(spark, folder):
+@query(f"SELECT page_id, {S.html_sql('html')} AS text FROM pages", "html_to_text")
+def _html_to_text(spark, folder):
     pages = read_spread(spark, folder, "pages", "page_id", "html")
     return pages.select("page_id", html_to_text("html").alias("text"))
 
 
-@query(f"SELECT page_id, {S.html_sql('html', keep_scripts=True)} AS text FROM pages")
-def page_text_with_scripts(spark, folder):
+@query(f"SELECT page_id, {S.html_sql('html', keep_scripts=True)} AS text FROM pages",
+       "html_with_scripts")
+def _html_with_scripts(spark, folder):
     pages = read_spread(spark, folder, "pages", "page_id", "html")
     return pages.select("page_id", html_to_text("html", keep_scripts=True).alias("text"))
 
@@ -297,13 +307,13 @@ def vector_lookup(spark, folder):
 
 @query(f"WITH {S.WEIGHTS} SELECT term, count(*) AS df FROM counts WHERE NOT is_test GROUP BY term")
 def doc_frequency(spark, folder):
-    train, _ = corpus_parts(spark, folder)
-    return terms.document_frequency(train, "text")
+    train, _ = splits.hold_out(documents(spark, folder), "doc_id")
+    return terms.document_frequency(train, clean_text("text"))
 
 
 @query(f"WITH {S.WEIGHTS} SELECT doc_id, term, tf, round(weight, 6) AS weight FROM weights")
 def tfidf_weights(spark, folder):
-    cleaned = documents(spark, folder).withColumn("text", clean_text("text"))
+    cleaned = cleaned_corpus(spark, folder)
     train, _ = splits.hold_out(cleaned, "doc_id")
     idf = terms.fit_idf(train, "doc_id", "text")
     weights = terms.tfidf_weights(terms.term_counts(cleaned, "doc_id", "text"), "doc_id", idf)
@@ -327,7 +337,7 @@ def binary_top_terms(spark, folder):
     coalesce(string_agg(index::VARCHAR, ',' ORDER BY index), '') AS indices
   FROM documents d LEFT JOIN hits USING (doc_id) GROUP BY d.doc_id""")
 def binary_bag(spark, folder):
-    docs = documents(spark, folder).withColumn("text", clean_text("text"))
+    docs = cleaned_corpus(spark, folder)
     top = written(terms.top_terms(docs, "text"), "top-terms")
     return terms.binary_bag(docs, "doc_id", "text", top).select(
         "doc_id", long(F.size("indices")).alias("n_hits"),
@@ -338,12 +348,12 @@ def binary_bag(spark, folder):
   (SELECT count(*) FROM clean WHERE is_test) AS n_test, (SELECT count(*) FROM idf) AS n_terms,
   (SELECT count(DISTINCT lang) FROM clean WHERE NOT is_test) AS n_classes""")
 def matrix_shapes(spark, folder):
-    train, _ = corpus_parts(spark, folder)
+    train, _ = splits.hold_out(documents(spark, folder), "doc_id")
     sizes = read_table(spark, folder, "documents", "doc_id", "lang").agg(
         F.count_if(~splits.is_test("doc_id")).alias("n_train"),
         F.count_if(splits.is_test("doc_id")).alias("n_test"),
         F.count_distinct(F.when(~splits.is_test("doc_id"), F.col("lang"))).alias("n_classes"))
-    n_terms = terms.document_frequency(train, "text").count()
+    n_terms = terms.document_frequency(train, clean_text("text")).count()
     return sizes.withColumn("n_terms", F.lit(n_terms).cast("bigint"))
 
 
@@ -714,7 +724,6 @@ def training_history(spark, folder):
 def model_comparison(spark, folder):
     """Five classifiers on the same split, the same report, the best one marked."""
     train, test = corpus_parts(spark, folder)
-    train, test = written(train, "train"), written(test, "test")
     stages = vectors.tfidf_stages(train, "doc_id", min_df=MIN_DF)
     fits = {name: learners.fit_classifier(train, stages, "lang", learner)
             for name, learner in [("naive_bayes", learners.naive_bayes),
