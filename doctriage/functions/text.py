@@ -42,7 +42,7 @@ def _deleted_class() -> str:
             ranges[-1][1] = i
         else:
             ranges.append([i, i])
-    ranges[-1][1] = 0xFFFF              # both halves of a surrogate pair are in here
+    ranges[-1][1] = 0x10FFFF
     return "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges) + "]+"
 
 

@@ -46,6 +46,7 @@ def write_labelled_csv(df: DataFrame, path: str, label: str = "label", text: str
     (df.select(F.col(label).alias("category"), F.col(text).alias("text"))
      .write.mode("overwrite").option("header", header).option("quote", '"')
      .option("escape", '"').option("emptyValue", '""')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("maxRecordsPerFile", rows_per_file).csv(path))
 
 
@@ -53,4 +54,6 @@ def read_labelled_csv(spark: SparkSession, path: str, header: bool = True,
                       schema: T.StructType = LABELLED_TEXT) -> DataFrame:
     """Quoted, multi-line ``category,text`` rows. An empty text reads as null."""
     return (spark.read.schema(schema).option("header", header).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').option("lineSep", "\n").csv(path))
+            .option("quote", '"').option("escape", '"').option("lineSep", "\n")
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False).csv(path))
