@@ -14,8 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from doctriage.functions.text import word_tokens
-from doctriage.operators.terms import (BROADCAST_TERMS, fit_idf, join_terms, term_counts,
-                                       tfidf_weights)
+from doctriage.operators.terms import fit_idf, join_terms, term_counts, tfidf_weights
 from doctriage.session import keyed_by_document, written
 
 MAX_CLASSES = 1_000
@@ -27,6 +26,7 @@ class BayesModel:
     log_priors: list[float]
     terms: DataFrame                    # term, df, idf, lp_0 .. lp_k-1
     n_terms: int
+    term_bytes: int
     n_docs: int
 
 
@@ -40,13 +40,13 @@ def class_counts(docs: DataFrame, label: str) -> dict[str, int]:
 
 
 def fit_bayes(docs: DataFrame, key: str, text: str | Column, label: str,
-              alpha: float = 1.0, limit: int = BROADCAST_TERMS) -> BayesModel:
+              alpha: float = 1.0, budget: int | None = None) -> BayesModel:
     """Fit on ``docs`` (``text`` is cleaned text)."""
     docs = docs.filter(F.col(label).isNotNull())
     counts = class_counts(docs, label)
     classes, n_docs = list(counts), sum(counts.values())
     idf = fit_idf(docs, key, text, n_docs)
-    weights = tfidf_weights(term_counts(docs, key, text, label), key, idf, limit)
+    weights = tfidf_weights(term_counts(docs, key, text, label), key, idf, budget)
     # Each fitted term occurs in some document, so its idf comes along with the sums.
     sums = written(weights.groupBy("term", "df", "idf").agg(*[
         F.sum(F.when(F.col(label) == c, F.col("weight")).otherwise(0.0)).alias(f"lp_{i}")
@@ -56,11 +56,11 @@ def fit_bayes(docs: DataFrame, key: str, text: str | Column, label: str,
         F.log((F.col(f"lp_{i}") + alpha) / ((totals[i] or 0.0) + alpha * idf.n_terms))
         .alias(f"lp_{i}") for i in range(len(classes))])
     return BayesModel(classes, [math.log(n / n_docs) for n in counts.values()], terms,
-                      idf.n_terms, n_docs)
+                      idf.n_terms, idf.term_bytes, n_docs)
 
 
 def score_bayes(model: BayesModel, docs: DataFrame, key: str, text: str | Column,
-                *carry: str, limit: int = BROADCAST_TERMS) -> DataFrame:
+                *carry: str, budget: int | None = None) -> DataFrame:
     """``(key, *carry, scores, prediction, probability)``; every document is kept.
 
     Distinct terms are counted per document and joined with the model; length norm and
@@ -71,7 +71,8 @@ def score_bayes(model: BayesModel, docs: DataFrame, key: str, text: str | Column
                               word_tokens(text).alias("words"))
     by_doc = words.select(key, *carry, F.explode_outer("words").alias("term"))
     counts = by_doc.groupBy(key, *carry, "term").agg(F.count("*").alias("tf"))
-    joined = join_terms(counts, model.terms, model.n_terms, "left", limit=limit)
+    joined = join_terms(counts, model.terms, model.n_terms, model.term_bytes, "left",
+                        budget=budget)
     raw = F.col("tf") * F.col("idf")
     sums = joined.groupBy(key, *carry).agg(
         F.sqrt(F.coalesce(F.sum(raw * raw), F.lit(0.0))).alias("norm"),

@@ -10,9 +10,15 @@ from doctriage.functions.text import filterset_tokens, word_tokens
 from doctriage.operators.splits import cut_value
 from doctriage.session import keyed_by_document, written
 
-# A term table is broadcast only up to this many rows (about 100 bytes each). Above
-# it the most frequent terms, this many, are broadcast and the rest is shuffled.
-BROADCAST_TERMS = 500_000
+# A term table is broadcast only up to this measured size. Above it, as many of the most
+# frequent terms as surely fit are broadcast and the rest is shuffled.
+BROADCAST_BYTES = 256 << 20
+LONG_TERM = 256                     # bytes; longer terms are never in the broadcast part
+
+
+def row_bytes(terms: DataFrame) -> int:
+    """Bytes of a term row besides the term: 8 per column and the hash entry."""
+    return 64 + 8 * len(terms.columns)
 
 
 def term_counts(docs: DataFrame, key: str, text: str | Column, *carry: str) -> DataFrame:
@@ -46,33 +52,38 @@ def document_frequency(docs: DataFrame, text: str | Column) -> DataFrame:
             .groupBy("term").agg(F.count("*").alias("df")))
 
 
-def join_terms(rows: DataFrame, terms: DataFrame, n_terms: int, how: str = "inner",
-               frequency: str = "df", limit: int = BROADCAST_TERMS) -> DataFrame:
+def join_terms(rows: DataFrame, terms: DataFrame, n_terms: int, term_bytes: int,
+               how: str = "inner", frequency: str = "df",
+               budget: int | None = None) -> DataFrame:
     """Join term rows with a table of one row per term, safe for hot terms.
 
-    ``n_terms`` is the counted size of ``terms``. Within ``limit`` the table is
-    broadcast and the rows stay where they are. Beyond it, the ``limit`` most frequent
-    terms are broadcast; they take all hot terms and most rows. The rows of the rare
-    terms are shuffled, and no rare term can fill a partition.
+    ``n_terms`` and ``term_bytes`` are the counted rows of ``terms`` and the summed
+    length of its terms. If the table fits the budget it is broadcast and the rows stay
+    where they are. Otherwise the most frequent terms that fit are broadcast; they take
+    the hot terms and most rows. Only rows of rare terms are shuffled, so no single term
+    fills a partition; a frequent term too long to broadcast is left to the skew join.
     """
-    if n_terms <= limit:
+    budget = BROADCAST_BYTES if budget is None else budget
+    if term_bytes + n_terms * row_bytes(terms) <= budget:
         return rows.join(F.broadcast(terms), "term", how)
-    cut, _ = cut_value(terms, F.col(frequency), n_terms - limit)
-    head = terms.filter(F.col(frequency) > cut)          # at most ``limit`` rows
-    tail = terms.filter(F.col(frequency) <= cut)
+    limit = max(1, budget // (LONG_TERM + row_bytes(terms)))
+    short = F.octet_length("term") <= LONG_TERM
+    frequent = short
+    if n_terms > limit:
+        cut, _ = cut_value(terms, F.col(frequency), n_terms - limit)
+        frequent = short & (F.col(frequency) > cut)      # at most ``limit`` rows
+    head, tail = terms.filter(frequent), terms.filter(~frequent)
     rows = written(rows, "term-rows")
-    frequent = rows.join(F.broadcast(head), "term")
-    rare = rows.join(F.broadcast(head.select("term")), "term", "left_anti")
+    common = rows.join(F.broadcast(head), "term")
+    rest = rows.join(F.broadcast(head.select("term")), "term", "left_anti")
     if how == "left":
         # Rows without a term (empty documents) share a null key; keep them in place.
-        empty = rare.filter(F.col("term").isNull())
         added = [F.lit(None).cast(f.dataType).alias(f.name) for f in terms.schema
                  if f.name != "term"]
-        rare = rare.filter(F.col("term").isNotNull()).join(tail, "term", "left").unionByName(
-            empty.select("*", *added))
-    else:
-        rare = rare.join(tail, "term", how)
-    return frequent.unionByName(rare)
+        empty = rest.filter(F.col("term").isNull()).select("*", *added)
+        rest = rest.filter(F.col("term").isNotNull()).join(tail, "term", "left")
+        return common.unionByName(rest).unionByName(empty)
+    return common.unionByName(rest.join(tail, "term", how))
 
 
 @dataclass(frozen=True)
@@ -81,6 +92,13 @@ class Idf:
     table: DataFrame                    # term, df, idf
     n_docs: int
     n_terms: int
+    term_bytes: int
+
+
+def term_sizes(table: DataFrame) -> tuple[int, int]:
+    """Rows of a term table and the summed length of its terms."""
+    row = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    return row[0], row[1]
 
 
 def fit_idf(docs: DataFrame, key: str, text: str | Column, n_docs: int | None = None) -> Idf:
@@ -89,18 +107,18 @@ def fit_idf(docs: DataFrame, key: str, text: str | Column, n_docs: int | None =
     table = document_frequency(docs, text).withColumn(
         "idf", F.log(F.lit(float(1 + n_docs)) / (F.col("df") + 1)) + 1)
     table = written(table, "idf")
-    return Idf(table, n_docs, table.count())
+    return Idf(table, n_docs, *term_sizes(table))
 
 
 def tfidf_weights(counts: DataFrame, key: str, idf: Idf,
-                  limit: int = BROADCAST_TERMS) -> DataFrame:
+                  budget: int | None = None) -> DataFrame:
     """``(key, ..., term, tf, df, idf, weight)``, each document of unit length; unseen
     terms drop.
 
     The window groups by document only, and a document is one input row's terms.
     """
-    raw = join_terms(counts, idf.table, idf.n_terms, limit=limit).withColumn(
-        "raw", F.col("tf") * F.col("idf"))
+    raw = join_terms(counts, idf.table, idf.n_terms, idf.term_bytes,
+                     budget=budget).withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.withColumn("weight", F.col("raw") / norm).drop("raw")
 
@@ -128,7 +146,17 @@ def binary_bag(docs: DataFrame, key: str, text: str | Column, top: DataFrame) ->
 
 def frequent_terms(docs: DataFrame, key: str, text: str | Column, size: int,
                    min_df: int = 1) -> DataFrame:
-    """``(term, n, df)`` of at most ``size`` terms by ``(n desc, term asc)``."""
+    """``(term, n, df)`` of at most ``size`` terms, the most used ones."""
     terms = (term_counts(docs, key, text).groupBy("term")
              .agg(F.sum("tf").alias("n"), F.count("*").alias("df")))
-    return terms.filter(F.col("df") >= min_df).orderBy(F.desc("n"), "term").limit(size)
+    terms = written(terms.filter(F.col("df") >= min_df), "vocabulary")
+    return terms.filter(F.col("n") > usage_cut(terms, size))
+
+
+def usage_cut(terms: DataFrame, size: int) -> int:
+    """The use count above which at most ``size`` terms lie; 0 when all fit.
+
+    Terms tied at the cut are left out together, so the choice needs no order.
+    """
+    excess = terms.count() - size
+    return cut_value(terms, F.col("n"), excess)[0] if excess > 0 else 0

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+import math
+
+from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer,
                                 OneHotEncoder, RegexTokenizer, SQLTransformer,
                                 StringIndexer, Word2Vec)
@@ -12,13 +14,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from doctriage.functions import fixed
-from doctriage.operators.terms import frequent_terms, top_terms
+from doctriage.functions.text import space_tokens
+from doctriage.operators.bayes import MAX_CLASSES
+from doctriage.operators.terms import each_term, frequent_terms, top_terms, usage_cut
 from doctriage.session import written
 
-import math
-
 VOCABULARY_LIMIT = 1 << 18          # terms held by the driver and sent to each task
-MAX_CENTROID_VALUES = 10_000_000    # classes x dimensions
 
 
 def word_tokenizer(text: str = "text", output: str = "words") -> Transformer:
@@ -40,7 +41,8 @@ def tfidf_stages(docs: DataFrame, key: str, text: str = "text", output: str = "f
     by ``vocabulary_size`` and its order is fixed.
     """
     n_docs = docs.count()
-    rows = frequent_terms(docs, key, text, vocabulary_size, min_df).collect()
+    rows = (frequent_terms(docs, key, text, vocabulary_size, min_df)
+            .orderBy(F.desc("n"), "term").collect())      # at most vocabulary_size rows
     if not rows:
         raise ValueError("no term to build a vocabulary from")
     counts = CountVectorizerModel.from_vocabulary([r["term"] for r in rows],
@@ -67,14 +69,20 @@ def binary_bag_stages(docs: DataFrame, text: str = "text", output: str = "featur
 
 def document_embedding(docs: DataFrame, text: str = "text", output: str = "features",
                        size: int = 300, epochs: int = 30, step: float = 0.065,
-                       min_count: int = 1, seed: int = 42) -> list:
+                       min_count: int = 1, seed: int = 42,
+                       vocabulary_size: int = VOCABULARY_LIMIT) -> list:
     """Fitted stages: mean of learnt word vectors per document.
 
     Training is split over as many partitions as the cluster has cores; one partition,
-    the library's default, would pass the whole corpus through one task.
+    the library's default, would pass the whole corpus through one task. The learner
+    holds its vocabulary on the driver, so the least used words are left out when there
+    are more than ``vocabulary_size``.
     """
+    used = written(each_term(docs, words=space_tokens(text)).groupBy("term")
+                   .agg(F.count("*").alias("n")), "words")
     words = space_tokenizer(text)
-    learner = Word2Vec(vectorSize=size, minCount=min_count, maxIter=epochs, stepSize=step,
+    learner = Word2Vec(vectorSize=size, minCount=max(min_count, usage_cut(used, vocabulary_size) + 1),
+                       maxIter=epochs, stepSize=step,
                        numPartitions=docs.sparkSession.sparkContext.defaultParallelism,
                        inputCol="words", outputCol=output, seed=seed)
     return [words, learner.fit(words.transform(docs))]
@@ -110,9 +118,9 @@ def fit_centroids(df: DataFrame, embedding: str, label: str) -> dict:
     """``{label: mean vector}``; partial means per partition, one row per class."""
     rows = (embedding_features(df.filter(F.col(label).isNotNull()), embedding)
             .groupBy(label).agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("mean"))
-            .orderBy(label).limit(100_001).collect())
-    if sum(len(r["mean"]) for r in rows) > MAX_CENTROID_VALUES:
-        raise ValueError("too many classes for a nearest-centroid model")
+            .orderBy(label).limit(MAX_CLASSES + 1).collect())
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
     return {r[label]: list(r["mean"]) for r in rows}
 
 

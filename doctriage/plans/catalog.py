@@ -630,8 +630,10 @@ def score_batch(spark, folder):
 def score_stream(spark, folder):
     """The same over a file-drop stream, read back from its sink."""
     fitted, _ = _ml_bayes(spark, folder)
-    schema = read_table(spark, folder, "documents", "doc_id", "text").schema
-    drop = scoring.open_drop(spark, folder, schema, name_pattern="documents.parquet")
+    table = read_table(spark, folder, "documents", "doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    drop = scoring.open_drop(spark, folder, table.schema, name_pattern="documents.parquet",
+                             tasks=cores if table.rdd.getNumPartitions() < cores else None)
     scored = scoring.score(drop, fitted.pipeline, "general", "fixed").select(
         "doc_id", "model_label", "class", "outcome")
     output = scratch_path(spark, "scored")

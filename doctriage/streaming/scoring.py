@@ -17,14 +17,19 @@ FILES_PER_BATCH = 1_000
 
 
 def open_drop(spark: SparkSession, folder: str, schema: T.StructType, form: str = "parquet",
-              name_pattern: str | None = None,
-              files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """New files of a folder as a stream."""
+              name_pattern: str | None = None, files_per_batch: int = FILES_PER_BATCH,
+              tasks: int | None = None) -> DataFrame:
+    """New files of a folder as a stream.
+
+    ``tasks`` spreads each batch by round robin; it is meant for drops of few large
+    files that do not split, and costs a shuffle of the texts otherwise.
+    """
     reader = (spark.readStream.format(form).schema(schema)
               .option("maxFilesPerTrigger", files_per_batch))
     if name_pattern:
         reader = reader.option("pathGlobFilter", name_pattern)
-    return reader.load(folder)
+    drop = reader.load(folder)
+    return drop.repartition(tasks) if tasks else drop
 
 
 def open_ocr_drop(spark: SparkSession, folder: str) -> DataFrame:

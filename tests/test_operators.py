@@ -31,19 +31,19 @@ def brute_weights(train, rows):
     return out
 
 
-@pytest.mark.parametrize("limit", [terms.BROADCAST_TERMS, 2, 1])
-def test_tfidf_weights(spark, docs, limit):
+@pytest.mark.parametrize("budget", [None, 800, 1])
+def test_tfidf_weights(spark, docs, budget):
     idf = terms.fit_idf(docs, "id", "text")
-    rows = terms.tfidf_weights(terms.term_counts(docs, "id", "text"), "id", idf, limit).collect()
+    rows = terms.tfidf_weights(terms.term_counts(docs, "id", "text"), "id", idf, budget).collect()
     want = brute_weights(DOCS, DOCS)
     assert {(r["id"], r["term"]): pytest.approx(r["weight"]) for r in rows} == {
         (k, t): w for k, ws in want.items() for t, w in ws.items()}
 
 
-@pytest.mark.parametrize("limit", [bayes.BROADCAST_TERMS, 2])
-def test_naive_bayes(spark, docs, limit):
+@pytest.mark.parametrize("budget", [None, 800])
+def test_naive_bayes(spark, docs, budget):
     train = [d for d in DOCS if d[1]]
-    model = bayes.fit_bayes(docs, "id", "text", "label", limit=limit)
+    model = bayes.fit_bayes(docs, "id", "text", "label", budget=budget)
     weights = brute_weights(train, train)
     classes = ["x", "y"]
     vocabulary = {t for w in weights.values() for t in w}
@@ -52,7 +52,7 @@ def test_naive_bayes(spark, docs, limit):
         for t, w in weights[key].items():
             sums[label][t] += w
     scored = brute_weights(train, DOCS)
-    got = {r["id"]: r for r in bayes.score_bayes(model, docs, "id", "text", limit=limit).collect()}
+    got = {r["id"]: r for r in bayes.score_bayes(model, docs, "id", "text", budget=budget).collect()}
     assert set(got) == {d[0] for d in DOCS}
     for key, ws in scored.items():
         want = [math.log(sum(d[1] == c for d in train) / len(train)) + sum(
@@ -63,6 +63,12 @@ def test_naive_bayes(spark, docs, limit):
         assert sum(got[key]["probability"]) == pytest.approx(1)
 
 
+def test_vocabulary_limit(spark, docs):
+    assert {r["term"] for r in terms.frequent_terms(docs, "id", "text", 3).collect()} == {
+        "red", "sky"}                       # the third place is shared and stays empty
+    assert terms.frequent_terms(docs, "id", "text", 99).count() == 5
+
+
 def test_class_limit(spark, docs, monkeypatch):
     monkeypatch.setattr(bayes, "MAX_CLASSES", 1)
     with pytest.raises(ValueError):
