@@ -174,31 +174,17 @@ def _condition(rule: Rule, mode: str, text: Column, label: Column) -> Column | N
     return any_of(conditions) if conditions else None
 
 
-def decide(flow_name: str, mode: str, text: Column, label: Column,
-           probability: Column) -> Column:
-    """The final ``struct<class, outcome, error, status_code>`` of a scored document."""
+def decide(flow_name: str, mode: str, lowered: Column, label: Column, gate: Column) -> Column:
+    """The final label: an ordered chain over the lower-cased text and the gate."""
     flow = FLOWS[flow_name]
-    if mode not in flow.modes:
-        raise ValueError(f"flow {flow_name} has no {mode} mode")
-    lowered = F.lower(text)
-    gate = (gate_compat(probability) if mode == "compat"
-            else gate_fixed(probability, flow.threshold))
-    if mode == "compat" and flow.model_label_always:
-        failed = text.isNull() | label.isNull()
-        final = label
-    else:
-        failed = text.isNull() | label.isNull() | (gate == "error")
-        accepted = deny_labels(label, flow.denied) if flow.denied else label
-        final = F.when(F.lit(False), F.lit(None).cast("string"))
-        for rule in flow.rules:
-            if rule is GATE:
-                final = final.when(gate == "accept", accepted)
-                continue
-            condition = _condition(rule, mode, lowered, label)
-            if condition is not None:
-                final = final.when(condition, F.lit(rule.label))
-        final = display_label(final.otherwise(fixed.UNCLASSIFIED), dict(flow.display))
-    return outcome(final, failed)
+    accepted = deny_labels(label, flow.denied) if flow.denied else label
+    final = F
+    for rule in flow.rules:
+        condition = (gate == "accept" if rule is GATE
+                     else _condition(rule, mode, lowered, label))
+        if condition is not None:
+            final = final.when(condition, accepted if rule is GATE else F.lit(rule.label))
+    return display_label(final.otherwise(fixed.UNCLASSIFIED), dict(flow.display))
 
 
 def outcome(final: Column, failed: Column, invalid_type: Column | None = None) -> Column:
@@ -217,6 +203,22 @@ def outcome(final: Column, failed: Column, invalid_type: Column | None = None) -
 def apply_flow(df: DataFrame, flow_name: str, mode: str, text: str = "text",
                label: str = "model_label", probability: str = "probability",
                result: str = "result") -> DataFrame:
-    """Add the decision as a struct column; a pure projection."""
-    return df.withColumn(result, decide(flow_name, mode, F.col(text), F.col(label),
-                                        F.col(probability)))
+    """Add the decision as ``struct<class, outcome, error, status_code>``.
+
+    Projections only. The lower-cased text, the gate and the label are columns of their
+    own, so that each is computed once however many rules look at it.
+    """
+    flow = FLOWS[flow_name]
+    if mode not in flow.modes:
+        raise ValueError(f"flow {flow_name} has no {mode} mode")
+    missing = F.col(text).isNull() | F.col(label).isNull()
+    if mode == "compat" and flow.model_label_always:
+        return df.withColumn(result, outcome(F.col(label), missing))
+    gate = (gate_compat(F.col(probability)) if mode == "compat"
+            else gate_fixed(F.col(probability), flow.threshold))
+    decided = (df.select("*", F.lower(text).alias("_lowered"), gate.alias("_gate"))
+               .select("*", decide(flow_name, mode, F.col("_lowered"), F.col(label),
+                                   F.col("_gate")).alias("_final")))
+    return decided.withColumn(
+        result, outcome(F.col("_final"), missing | (F.col("_gate") == "error"))
+    ).drop("_lowered", "_gate", "_final")

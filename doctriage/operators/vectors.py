@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Pipeline, Transformer
-from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer,
-                                OneHotEncoder, RegexTokenizer, SQLTransformer,
+from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, ElementwiseProduct,
+                                Normalizer, OneHotEncoder, RegexTokenizer, SQLTransformer,
                                 StringIndexer, Word2Vec)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -38,16 +38,18 @@ def tfidf_stages(docs: DataFrame, key: str, text: str = "text", output: str = "f
 
     One grouped count gives vocabulary and document frequencies together, where fitting
     a count and an IDF stage would pass over the corpus twice. The vocabulary is bounded
-    by ``vocabulary_size`` and its order is fixed.
+    by ``vocabulary_size``.
     """
     n_docs = docs.count()
-    rows = (frequent_terms(docs, key, text, vocabulary_size, min_df)
-            .orderBy(F.desc("n"), "term").collect())      # at most vocabulary_size rows
-    if not rows:
+    chosen = frequent_terms(docs, key, text, vocabulary_size, min_df)
+    seen = chosen.select("term", "df").toArrow().to_pydict()   # at most vocabulary_size rows
+    df = dict(zip(seen["term"], seen["df"]))
+    if not df:
         raise ValueError("no term to build a vocabulary from")
-    counts = CountVectorizerModel.from_vocabulary([r["term"] for r in rows],
-                                                  inputCol="words", outputCol="counts")
-    weights = [math.log((1 + n_docs) / (1 + r["df"])) + 1 for r in rows]
+    # Fitting on the chosen terms, one per row, hands them over inside the JVM.
+    counts = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=len(df)).fit(
+        chosen.select(F.array("term").alias("words")))
+    weights = [math.log((1 + n_docs) / (1 + df[term])) + 1 for term in counts.vocabulary]
     return [word_tokenizer(text), counts,
             ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="counts",
                                outputCol="weighted"),

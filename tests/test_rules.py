@@ -78,7 +78,7 @@ def test_errors(spark):
         None, "error", fixed.EXTRACTION_FAILED)
     assert result(spark, "utility", "compat", "gas", "pan", 2e-5)["outcome"] == "error"
     with pytest.raises(ValueError):
-        rules.decide("embedding_utility", "compat", F.lit(""), F.lit(""), F.array())
+        result(spark, "embedding_utility", "compat", "x", "pan")
 
 
 def test_rule_table(spark):
