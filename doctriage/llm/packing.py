@@ -22,7 +22,8 @@ TOKENIZER = "byte_bpe_50k.json"
 LENGTH = 1024
 END_ID = 0
 GROUP_DOCUMENTS = 1024      # documents of a group, on average
-CACHE_CHUNKS = 400_000      # pieces of text whose ids a worker keeps
+CACHE_PIECES = 500_000      # pieces of text whose ids a worker keeps
+BLOCK = 256                 # texts encoded together
 _GAP = re.compile(r"\s ")
 
 
@@ -39,7 +40,8 @@ class Encoder:
 
     The tokenizer never joins characters across the start of a single space that follows
     another character than white space, so a text is cut there, and the ids of the pieces
-    are put together. A text with white space before a space is encoded in one.
+    are put together. A text with white space before a space is encoded in one. New pieces
+    are encoded together, one to a line: a line end there is a token of its own.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,28 +49,39 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.line_end, = self.ids("\n")
         self.kept: dict[str, bytes] = {}
 
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit numbers."""
-        if not text:
-            return b""
-        if _GAP.search(text) or text[0] == " " or text[-1] == " ":
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        kept = self.kept
-        if missing := [c for c in set(rest) if c not in kept]:
-            if len(kept) + len(missing) > CACHE_CHUNKS:
-                kept.clear()
-                missing = list(set(rest))
-            found = self.tokenizer.encode_batch([" " + c for c in missing],
-                                                add_special_tokens=False)
-            kept.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(missing, found))
-        return self.whole(first) + b"".join([kept[c] for c in rest])
+        return np.array(self.ids(text), "<u4").tobytes()
+
+    def pieces(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word after a space."""
+        plain = [w for w in words if "\n" not in w]
+        out = {w: self.whole(" " + w) for w in words if "\n" in w}
+        ids = np.array(self.ids("".join([f" {w}\n" for w in plain])), "<u4")
+        ends = np.flatnonzero(ids == self.line_end)
+        data, starts = ids.tobytes(), np.r_[0, ends[:-1] + 1]
+        out.update((w, data[a:b]) for w, a, b in
+                   zip(plain, (4 * starts).tolist(), (4 * ends).tolist()))
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit numbers."""
+        cut = [None if not t or t[0] == " " or t[-1] == " " or _GAP.search(t) else t.split(" ")
+               for t in texts]
+        known = self.kept
+        if missing := list(set().union(*(c[1:] for c in cut if c)).difference(known)):
+            found = self.pieces(missing)
+            if len(known) + len(found) > CACHE_PIECES:
+                known = {**known, **found}      # for these texts only
+            else:
+                known.update(found)
+        return [self.whole(t) if c is None else self.whole(c[0]) + b"".join(
+            map(known.__getitem__, c[1:])) for t, c in zip(texts, cut)]
 
 
 @lru_cache(maxsize=4)
@@ -181,7 +194,8 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         encode = encoder(tokenizer_path(tokenizer)).encode
         end = np.array([END_ID], "<u4").tobytes()
         pdf = pdf.sort_values("order", kind="stable")
-        ids = [encode(t or "") + end for t in pdf["text"]]
+        texts = [t or "" for t in pdf["text"]]
+        ids = [b + end for at in range(0, len(texts), BLOCK) for b in encode(texts[at:at + BLOCK])]
         names = pdf["id"].tolist()
         rows = []
         for number, sequence in enumerate(pack_lengths([len(b) // 4 for b in ids], length)):
