@@ -22,7 +22,7 @@ from doctriage.session import written
 
 SEED = 42
 BLOCK = 1 << 16                 # shingles hashed at a time
-LIGHT = 64                      # members of a key whose pairs are written out
+LIGHT = 64                      # members of a key that are compared at once
 CHUNK = 512                     # members on one side of a block of a heavier key
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 
@@ -129,12 +129,38 @@ def variants(nodes: DataFrame, signature: Signature) -> DataFrame:
     return nodes.select(F.explode(keys).alias("key"), "node")
 
 
-def members_pairs(members: DataFrame) -> DataFrame:
-    """``a, b``: the pairs within each key of at most ``LIGHT`` members."""
-    groups = members.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("ns"))
-    pairs = F.flatten(F.transform("ns", lambda x, i: F.transform(
-        F.slice("ns", i + 2, F.size("ns")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+def star(nodes: np.ndarray, segs: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of nodes compared; each component comes back as links to its first node."""
+    far = np.zeros((len(nodes), len(nodes)), np.uint16)
+    for column in segs.astype(np.uint64).T:
+        far += np.bitwise_count(column[:, None] ^ column[None, :])
+    near, label = far <= max_distance, np.arange(len(nodes))
+    while True:
+        least = np.where(near, label[None, :], len(nodes)).min(axis=1)
+        if (least == label).all():
+            break
+        label = least
+    keep = label != np.arange(len(nodes))
+    return nodes[label[keep]], nodes[keep]
+
+
+def light_links(members: DataFrame, max_distance: int) -> DataFrame:
+    """Links within keys of at most ``LIGHT`` members, each set of members looked at once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            ends = (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
+            flat = column.flatten()
+            nodes = flat.field("node").to_numpy()
+            segs = flat.field("segs").flatten().to_numpy().reshape(len(nodes), -1)
+            found = [star(nodes[a:b], segs[a:b], max_distance) for a, b in zip(ends, ends[1:])]
+            left, right = (np.concatenate([np.zeros(0, np.int64), *x]) for x in
+                           (zip(*found) if found else ((), ())))
+            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["a", "b"])
+
+    return (members.groupBy("key")
+            .agg(F.sort_array(F.collect_set(F.struct("node", "segs"))).alias("members"))
+            .select("members").distinct().mapInArrow(run, "a bigint, b bigint"))
 
 
 def two_bit_links(nodes: DataFrame, signature: Signature) -> DataFrame:
@@ -143,13 +169,13 @@ def two_bit_links(nodes: DataFrame, signature: Signature) -> DataFrame:
     Linear in the nodes: a variant has at most four members, all of which link.
     """
     fp = F.call_function("shiftleft", F.col("segs")[1], F.lit(32)).bitwiseOR(F.col("segs")[0])
-    spots = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(signature.bits - 2)),
-                                  lambda i: F.transform(
-        F.sequence(i + 1, F.lit(signature.bits - 1)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    keyed = (nodes.select("node", fp.alias("fp"), F.explode(spots).alias("at"))
-             .select("node", "at", wiped(wiped(F.col("fp"), F.col("at.i")), F.col("at.j"))
-                     .alias("rest")))
-    met = (keyed.groupBy("at", "rest").agg(F.collect_set("node").alias("ns"))
+    firsts = F.sequence(F.lit(0), F.lit(signature.bits - 2))
+    keyed = (nodes.select("node", fp.alias("fp"), F.explode(firsts).alias("i"))
+             .repartition("node", "i")
+             .select("node", "i", wiped(F.col("fp"), F.col("i")).alias("fp"),
+                     F.explode(F.sequence(F.col("i") + 1, F.lit(signature.bits - 1))).alias("j"))
+             .select("node", "i", "j", wiped(F.col("fp"), F.col("j")).alias("rest")))
+    met = (keyed.groupBy("i", "j", "rest").agg(F.collect_set("node").alias("ns"))
            .filter(F.size("ns") > 1))
     return (met.select(F.array_min("ns").alias("a"), F.explode("ns").alias("b"))
             .filter(F.col("a") != F.col("b")).distinct())
@@ -162,20 +188,8 @@ def block_links(members: DataFrame, max_distance: int) -> DataFrame:
     two chunks at most; a block returns no pairs but a star for each of its components.
     """
     def stars(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = pdf["node"].to_numpy()
-        segs = np.stack(pdf["segs"].to_numpy()).astype(np.uint64)
-        far = np.zeros((len(nodes), len(nodes)), np.uint16)
-        for column in segs.T:
-            far += np.bitwise_count(column[:, None] ^ column[None, :])
-        near = far <= max_distance
-        label = np.arange(len(nodes))
-        while True:
-            least = np.where(near, label[None, :], len(nodes)).min(axis=1)
-            if (least == label).all():
-                break
-            label = least
-        keep = label != np.arange(len(nodes))
-        return pd.DataFrame({"a": nodes[label[keep]], "b": nodes[keep]})
+        a, b = star(pdf["node"].to_numpy(), np.stack(pdf["segs"].to_numpy()), max_distance)
+        return pd.DataFrame({"a": a, "b": b})
 
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     placed = (members.withColumn("chunks", chunks)
@@ -194,14 +208,14 @@ def links(nodes: DataFrame, signature: Signature) -> DataFrame:
                   .filter(F.col("n") > 1), "variant-keys")
     crowded = met.filter(F.col("n") > 2).select("key", "n")
     members = written(keyed.join(small_side(crowded), "key"), "variant-members")
-    light = members.filter(F.col("n") <= LIGHT)
-    pairs = (met.filter(F.col("n") == 2).select("a", "b")
-             .union(members_pairs(light)).distinct())
+    light = light_links(members.filter(F.col("n") <= LIGHT).join(nodes, "node"),
+                        signature.max_distance)
+    pairs = met.filter(F.col("n") == 2).select("a", "b").distinct()
     left, right = (nodes.select(F.col("node").alias(x), F.col("segs").alias(f"segs_{x}"))
                    for x in "ab")
     near = (pairs.join(left, "a").join(right, "b")
             .filter(distance(F.col("segs_a"), F.col("segs_b")) <= signature.max_distance)
-            .select("a", "b"))
+            .select("a", "b").union(light))
     heavy = members.filter(F.col("n") > LIGHT)
     if signature.bits == 64 and signature.segments == 2 and signature.max_distance == 2:
         some = heavy.select("node").distinct()
