@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from doctriage.llm import language, line_dedup, mixing, packing, simhash
+from doctriage.llm.common import shipped
 from doctriage.session import written
 
 
@@ -36,9 +37,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-STAGES = [("language_id", identify_languages), ("line_dedup", drop_boilerplate),
-          ("simhash_near_dedup", drop_near_copies), ("mix_sources", mix_sources),
-          ("packing", pack_sequences)]
+STAGES = [("language_id", shipped(identify_languages)), ("line_dedup", shipped(drop_boilerplate)),
+          ("simhash_near_dedup", shipped(drop_near_copies)), ("mix_sources", shipped(mix_sources)),
+          ("packing", shipped(pack_sequences))]
 
 # Fingerprints, the fitted model, the schedule and the tokenizer are beyond SQL; the tests
 # hold each stage, and the whole, against brute force.

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import string
+import tempfile
+import zipfile
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import doctriage
+
 # Rows below which a small side is broadcast; above, the join shuffles. The rows counted
 # are narrow (a few long columns), so that this bounds the bytes as well.
 BROADCAST_ROWS = 200_000
@@ -27,3 +33,26 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     ``df`` should be a written table, since it is counted here.
     """
     return F.broadcast(df) if df.count() <= rows else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def shipped(run):
+    """``run(spark, ...)`` with this package sent to the executors first, once a session.
+
+    Functions that run there are then found wherever the driver was started.
+    """
+    @wraps(run)
+    def with_package(spark: SparkSession, *args):
+        context = spark.sparkContext
+        if context.applicationId not in _SHIPPED:
+            root = Path(doctriage.__file__).parent
+            archive = Path(tempfile.mkdtemp(prefix="doctriage-package-")) / "doctriage.zip"
+            with zipfile.ZipFile(archive, "w") as out:
+                for file in sorted(root.rglob("*.py")):
+                    out.write(file, file.relative_to(root.parent))
+            context.addPyFile(str(archive))
+            _SHIPPED.add(context.applicationId)
+        return run(spark, *args)
+    return with_package

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from doctriage.llm import (ann, exact_dedup, html_main, language, line_dedup, mixing, packing,
                            pseudo_lm, simhash, url_rules)
-from doctriage.llm.common import read
+from doctriage.llm.common import read, shipped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,7 +17,7 @@ SQL: dict[str, str] = {}
 def query(sql: str | None = None):
     """Register a query under its function's name, with its SQL check."""
     def register(fn):
-        QUERIES[fn.__name__] = fn
+        QUERIES[fn.__name__] = shipped(fn)
         if sql:
             SQL[fn.__name__] = sql
         return fn
