@@ -38,7 +38,7 @@ def url_host(url: Column | str) -> Column:
 
 def url_path(url: Column | str) -> Column:
     """What follows the host, up to ``?``, ``#`` or the end; else empty."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def suffixes(host: Column, labels: int) -> Column:
@@ -119,7 +119,7 @@ WITH u AS (
   SELECT page_id,
          translate(coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), ''),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*(/[^?#]*)', 1), '') AS path,
+         coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path,
          row_number() OVER () AS n
   FROM pages),
 r(rh, rp, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
