@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 BUCKETS = 1 << 13
 DIMENSIONS = 16
 EPOCHS = 12
+LEAST_STEPS = 600           # a small sample is gone over more often
 PER_LANGUAGE = 300          # labelled rows for each language, at most
 SAMPLE_ROWS = 20_000        # and for all languages together, at most
 CHUNK = 1 << 20             # characters hashed at a time
@@ -79,10 +80,12 @@ def train(averages: np.ndarray, targets: np.ndarray, languages: list[str], seed:
     vectors = rng.normal(0, 0.1, (averages.shape[1], DIMENSIONS)).astype(np.float32)
     weights = rng.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
+    epochs = max(epochs, LEAST_STEPS * 32 // len(fitted))
     steps, step = epochs * -(-len(fitted) // 32), 0
     for _ in range(epochs):
+        fitted = rng.permutation(fitted)
         for at in range(0, len(fitted), 32):
-            rows = rng.permutation(fitted)[:32] if at == 0 else fitted[at:at + 32]
+            rows = fitted[at:at + 32]
             x, rate = averages[rows], 8.0 * (1 - step / steps)
             hidden = x @ vectors
             error = softmax(hidden @ weights + bias)
