@@ -1,0 +1,410 @@
+"""The training-data operators against brute force, and on odd rows."""
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from doctriage.llm import (ann, components, exact_dedup, html_main, language, line_dedup, mixing,
+                           packing, pseudo_lm, simhash, url_rules)
+
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint, keep_id int"
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in each column, empty and long texts, ties, repeated rows, a clashing column."""
+    long_text = " ".join(f"word{i}" for i in range(60_000))
+    data = [(1, "Alpha beta gamma delta epsilon zeta", "en", "a", 35, 1), (2, None, "en", "a", None, 2),
+            (3, "", "fr", None, 0, 3), (4, long_text, None, "b", len(long_text), 4),
+            (5, "alpha BETA gamma delta epsilon zeta", "fr", "b", 35, 5),
+            (5, "alpha BETA gamma delta epsilon zeta", "fr", "b", 35, 5),
+            (None, "Alpha beta gamma delta epsilon zeta", "en", "a", 35, 6),
+            (None, None, None, None, None, None), (6, " \t\n ", "en", "c", 4, 7),
+            (7, "12 34 !!", "en", "c", 8, 8)]
+    return spark.createDataFrame(data, DOCUMENTS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCUMENTS)
+
+
+def test_exact_dedup_odd(odd, none):
+    out = rows_of(exact_dedup.exact_dedup(odd))
+    assert len(out) == 10 and exact_dedup.exact_dedup(none).count() == 0
+    by_id = {r["doc_id"]: r for r in out if r["doc_id"]}
+    assert by_id[1]["keep_id"] == 5 and by_id[1]["group_size"] == 4 and not by_id[1]["kept"]
+    assert by_id[5]["kept"] and by_id[3]["keep_id"] == 3 and by_id[3]["group_size"] == 3
+
+
+def test_exact_dedup_heavy(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(
+        F.col("id") % 3 == 0, "Copy").otherwise(F.concat(F.lit("t"), F.col("id") % 1500)).alias("text"))
+    want = docs.toPandas()
+    want["key"] = want.text.str.lower()
+    group = want.groupby("key").doc_id
+    want["keep"], want["n"] = group.transform("max"), group.transform("count")
+    for counters in (4, 16, 100_000):
+        got = exact_dedup.exact_dedup(docs, counters=counters).toPandas().sort_values("doc_id")
+        assert (got.keep_id.values == want.keep.values).all()
+        assert (got.group_size.values == want.n.values).all()
+
+
+def test_misra_gries_bound():
+    rng = random.Random(1)
+    stream = [rng.choice("abc") if rng.random() < 0.6 else str(rng.random()) for _ in range(5000)]
+    counts = {}
+    for at in range(0, 5000, 100):
+        for key, n in Counter(stream[at:at + 100]).items():
+            counts[key] = counts.get(key, 0) + n
+        counts = exact_dedup.prune(counts, 10)
+    for key in "abc":
+        assert stream.count(key) - 5000 / 11 <= counts[key] <= stream.count(key)
+
+
+def brute_rule(url, rules):
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    cut = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
+    host = "".join(c.lower() if c.isascii() else c for c in rest[:cut])
+    path = rest[cut:].split("?")[0].split("#")[0]
+    fits = [r for r in rules if (host == r.host or host.endswith("." + r.host))
+            and path.startswith(r.path)]
+    best = max(fits, key=lambda r: (len(r.host + r.path), len(r.host)), default=None)
+    return host, path, best
+
+
+@pytest.mark.parametrize("lanes", [1, 7])
+def test_url_rules(spark, lanes):
+    rules = [*url_rules.RULES, url_rules.Rule("a.b.org", "/es/x", "block"),
+             url_rules.Rule("b.org", "", "allow"), url_rules.Rule("b.org", "/es", "block")]
+    rng = random.Random(2)
+    urls = [None, "", "no scheme", "http://", "http://org", "HTTP://EXAMPLE.ORG/es/",
+            "http://example.org?x=://com/fr/", "http://..org//", "x://y.com/de/#a"]
+    urls += ["http://" + ".".join(rng.choices(["a", "b", "example", "org", "com", "xorg"],
+                                              k=rng.randint(1, 4)))
+             + rng.choice(["", "/", "/es", "/es/", "/es/x1", "/en/12", "/fr/", "/de/a?b", "?/de/"])
+             for _ in range(300)]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)],
+                                  "page_id long, url string, host string")
+    table = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules],
+                                  "host string, path string, verdict string")
+    out = {r["page_id"]: r for r in url_rules.url_verdicts(pages, table, lanes=lanes).collect()}
+    assert len(out) == len(urls)
+    for i, url in enumerate(urls):
+        host, path, best = brute_rule(url, rules)
+        assert (out[i]["host"], out[i]["path"]) == (host, path), url
+        assert out[i]["rule"] == (best and best.host + best.path), url
+        assert out[i]["verdict"] == (best.verdict if best else "allow")
+    assert url_rules.url_verdicts(pages.limit(0), table).count() == 0
+
+
+def test_line_dedup(spark, odd, none):
+    line = "This line is on every site of all"
+    data = [(i, f"own words of document {i}\n  {line} \n{line}", "en", f"s{i % 12}", 1, 0)
+            for i in range(24)] + [(100 + i, f"a line on nine sites only\nx{i}", "en", f"s{i}", 1, 0)
+                                   for i in range(9)]
+    out = {r["doc_id"]: r for r in line_dedup.line_dedup(
+        spark.createDataFrame(data, DOCUMENTS)).collect()}
+    assert out[0]["text"] == f"own words of document 0\n  {line} " and out[0]["n_removed"] == 1
+    assert out[5]["text"] == "own words of document 5" and out[5]["n_removed"] == 2
+    assert all(out[100 + i]["n_removed"] == 0 for i in range(9))
+    same = line_dedup.line_dedup(odd)
+    assert sorted(map(str, same.select(odd.columns).collect())) == sorted(map(str, odd.collect()))
+    assert line_dedup.line_dedup(none).count() == 0
+
+
+def brute_print(text, shingle=3):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def union_find(n, pairs):
+    root = list(range(n))
+    for a, b in pairs:
+        a, b = sorted((find(root, a), find(root, b)))
+        root[b] = a
+    return [find(root, i) for i in range(n)]
+
+
+def find(root, x):
+    while root[x] != x:
+        x = root[x]
+    return x
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)]
+    pairs += [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
+    want = union_find(300, pairs)
+    got = {r["node"]: r["root"] for r in components.components(
+        spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {n: want[n] for n in {x for p in pairs if p[0] != p[1] for x in p}}
+
+
+def test_simhash_odd(odd, none):
+    out = rows_of(simhash.simhash_groups(odd))
+    texts = {r["doc_id"]: r["text"] for r in odd.collect()}
+    for r in out:
+        if r["doc_id"] is not None and r["doc_id"] != 4:
+            assert r["fingerprint"] == f"{brute_print(texts[r['doc_id']]):016x}"
+    by_id = {r["doc_id"]: r["component_id"] for r in out if r["doc_id"] is not None}
+    assert by_id[5] == by_id[1] == 1 and by_id[2] == by_id[3] == by_id[6] == 2
+    assert len(out) == 10 and simhash.simhash_groups(none).count() == 0
+
+
+@pytest.mark.parametrize("signature", [simhash.CONTRACT, simhash.Signature(3, 2, 32, 3)])
+def test_simhash_links(spark, monkeypatch, signature):
+    """Dense groups, so that keys of two, light and heavy keys all occur."""
+    monkeypatch.setattr(simhash, "LIGHT", 6)
+    rng = random.Random(3)
+    prints = set()
+    for spots, n in ((40, 12), (8, 60), (5, 30)):
+        base = rng.getrandbits(64)
+        chosen = rng.sample(range(64), spots)
+        for _ in range(n):
+            value = base
+            for b in rng.sample(chosen, rng.randint(0, 4)):
+                value ^= 1 << b
+            prints.add(value)
+    prints = sorted(prints)
+    nodes = spark.createDataFrame([(i, [p & 0xFFFFFFFF, p >> 32]) for i, p in enumerate(prints)],
+                                  "node long, segs array<long>")
+    roots = {r["node"]: r["root"] for r in components.components(
+        simhash.links(nodes, signature)).collect()}
+    pairs = [(i, j) for i in range(len(prints)) for j in range(i)
+             if (prints[i] ^ prints[j]).bit_count() <= signature.max_distance]
+    want = union_find(len(prints), pairs)
+    assert [roots.get(i, i) for i in range(len(prints))] == want
+
+
+def test_near_dedup(spark, odd, none):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = []
+    for _ in range(40):
+        words = [word() for _ in range(200)]
+        copy = list(words)
+        copy[rng.randrange(200)] = word()
+        texts += [" ".join(words), " ".join(words).upper(), " ".join(copy),
+                  " ".join(word() for _ in range(200))]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, 0) for i, t in enumerate(texts)], DOCUMENTS)
+    kept = {r["doc_id"] for r in simhash.near_dedup(docs).collect()}
+    assert {4 * i for i in range(40)} | {4 * i + 3 for i in range(40)} <= kept
+    assert not any(4 * i + 1 in kept for i in range(40))
+    assert sum(4 * i + 2 in kept for i in range(40)) <= 1
+    ids = Counter(r["doc_id"] for r in simhash.near_dedup(odd).collect())
+    assert ids == {1: 1, 2: 1, 4: 1, 7: 1, None: 2}
+    assert simhash.near_dedup(none).count() == 0
+
+
+def test_language(spark, folder, odd, none):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = language.fit(docs)
+    out = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert {i for i, r in out.items() if r["held_out"]} == set(held)
+    assert np.mean([out[i]["lang_pred"] == truth[i] for i in held]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in out.values())
+    found = rows_of(language.identify(odd, model))
+    by_id = {r["doc_id"]: r for r in found}
+    assert len(found) == 10 and all(by_id[i]["lang_pred"] == "und" for i in (2, 3, 6, 7))
+    assert by_id[1]["lang_pred"] in model.languages
+    assert {r["doc_id"] for r in language.accepted(odd, model).collect()} <= {1, 4, 5, None}
+    assert language.fit(none) is None and language.identify(none, None).count() == 0
+    assert language.accepted(none, model).columns == none.columns
+
+
+def test_subword_counts_of_chunks(monkeypatch):
+    text = "".join(random.Random(6).choices("abcdé 世", k=5000))
+    whole = language.subword_counts(text)
+    monkeypatch.setattr(language, "CHUNK", 333)
+    assert (language.subword_counts(text) == whole).all()
+
+
+@pytest.mark.parametrize("blocks", [(5, 3, 2), (1,) * 9, (50, 1, 1, 1), (7, 0, 13), (333, 17, 290)])
+def test_pfair(blocks):
+    slots = mixing.earliest_deadline_first(blocks)
+    total = sum(blocks)
+    assert sorted(s for x in slots for s in x) == list(range(total))
+    for n, mine in zip(blocks, slots):
+        done = 0
+        for t in range(total + 1):
+            assert abs(done - n * t / total) < 1
+            done += t in set(mine)
+
+
+def test_mix(spark, odd, none):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(
+        F.col("id") % 10 < 6, "big").when(F.col("id") % 10 < 9, "mid").otherwise("low").alias("source"))
+    out = mixing.mix(docs, {"big": 1, "mid": 1, "low": 2}, block_documents=4, round_slots=40).toPandas()
+    assert sorted(out.doc_id) == list(range(3000))
+    blocks = out.drop_duplicates(["source", "block"]).sort_values("slot")
+    assert blocks.slot.tolist() == list(range(len(blocks)))
+    assert ((blocks.release <= blocks.slot) & (blocks.slot < blocks.deadline)).all()
+    assert (out.groupby(["source", "block"]).slot.nunique() == 1).all()
+    first = blocks.head(120)                     # three rounds, all sources still there
+    for t in range(1, 121):
+        share = first.head(t).source.value_counts()
+        for source, w in (("big", 0.25), ("mid", 0.25), ("low", 0.5)):
+            assert abs(share.get(source, 0) - w * t) < 1
+    assert mixing.mix(odd).count() == 10 and mixing.mix(none).count() == 0
+    ordered = mixing.in_mixture_order(docs)
+    assert ordered.columns == docs.columns and ordered.count() == 3000
+
+
+def test_packing(spark, odd, none):
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
+    plain.encode_special_tokens = True
+    texts = ["a  b", " x", "y ", "tab\t z", "", "one", "a \n b", "don't stop,  now\n\nnew line.", "é 世 界",
+             "<|endoftext|> and more", "word " * 900 + "end", "x\ny z\n w"]
+    got = packing.encoder(packing.tokenizer_path(packing.TOKENIZER)).encode(texts)
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    out = packing.pack(odd).toPandas()
+    assert out[out.doc_id == 5].doc_tokens.nunique() == 1 and packing.pack(none).count() == 0
+    sizes = out.groupby("sequence_id").length.sum()
+    assert ((sizes == 1024) | (sizes & (sizes - 1) == 0)).all()
+    assert out[out.doc_id == 4].length.sum() == out[out.doc_id == 4].doc_tokens.iloc[0]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pack_lengths(seed):
+    rng = random.Random(seed)
+    lengths = [rng.choice([1, 3, 700, rng.randint(1, 5000)]) for _ in range(rng.randint(1, 300))]
+    cover = Counter()
+    for sequence in packing.pack_lengths(lengths):
+        size = sum(p[2] for p in sequence)
+        assert size == 1024 or size & (size - 1) == 0
+        for doc, start, n in sequence:
+            cover.update((doc, i) for i in range(start, start + n))
+    assert cover == Counter((d, i) for d, n in enumerate(lengths) for i in range(n))
+    tree = packing.Tournament(8, 10)
+    tree.take(0, 9)
+    assert (tree.first_with(1), tree.first_with(2)) == (0, 1)
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(3000, 12)) + 4 * rng.normal(size=(30, 12))[rng.integers(0, 30, 3000)]
+    points[500:900] = points[500]                                # equal vectors
+    points[7] = 0
+    data = [(i, p.tolist(), "x") for i, p in enumerate(points)]
+    data[3] = (3, None, "x")
+    data[4] = (4, [float("nan")] * 12, "x")
+    data[5] = (5, [None] + [1.0] * 11, "x")
+    data += [(6, points[6].tolist(), "x"), (None, [1.0] * 12, "x"), (3001, [1.0], "x")]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>, score string")
+    out = ann.nearest(table).toPandas()
+    valid = [i for i in range(3000) if i not in (3, 4, 5, 7)]
+    hits = []
+    for q in range(0, 3000, 20):
+        mine = out[out.query_id == q].sort_values("rank")
+        scores = points @ points[q]
+        others = sorted((i for i in valid if i != q), key=lambda i: (-round(scores[i], 9), i))[:20]
+        assert mine["rank"].tolist() == list(range(1, 21)) and q not in set(mine.vec_id)
+        assert np.allclose(mine.score, scores[mine.vec_id])
+        hits.append(len(set(others) & set(mine.vec_id)) / 20)
+    assert np.mean(hits) >= 0.9
+    few = ann.nearest(table.filter("vec_id in (20, 40, 41, 7)")).collect()
+    assert [(r["query_id"], r["rank"]) for r in sorted(few)] == [(20, 1), (20, 2), (40, 1), (40, 2)]
+    assert ann.nearest(table.limit(0)).count() == 0
+
+
+def test_pseudo_likelihood(spark, folder, odd, none):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    out = {r["doc_id"]: r for r in pseudo_lm.pseudo_likelihood(docs).collect()}
+    assert len(out) == docs.count()
+    for r in docs.limit(20).collect():
+        assert out[r["doc_id"]]["n_words"] == len(r["text"].split())
+    found = {r["doc_id"]: r for r in pseudo_lm.pseudo_likelihood(odd).collect()}
+    assert found[2]["n_words"] == 0 and found[2]["mean_log_likelihood"] is None
+    assert found[4]["n_words"] == 60_000 and pseudo_lm.pseudo_likelihood(none).count() == 0
+
+
+def test_network_learns():
+    """Words that follow from their neighbours get likelier than their share of the corpus."""
+    rng = np.random.default_rng(9)
+    cycle = np.arange(40) * 7
+    text = [np.roll(cycle, rng.integers(40))[:30].astype(np.uint16) for _ in range(400)]
+    counts = np.bincount(np.concatenate(text), minlength=pseudo_lm.WORDS)
+    vocabulary = pseudo_lm.Vocabulary.of(counts)
+    trainer = pseudo_lm.Trainer(pseudo_lm.Network.fresh())
+    words, _, classes, around = pseudo_lm.positions(text, vocabulary)
+    for _ in range(60):
+        trainer.step(around[:, :4096], classes[:4096])
+    log_p = trainer.net.log_probabilities(around, classes) + vocabulary.shares[words]
+    assert log_p.mean() > np.log(1 / 40) + 1
+    flat = trainer.net.flat()
+    assert (pseudo_lm.Network.from_flat(flat).flat() == flat).all()
+
+
+ARTICLE = """<html><head><title>T</title><style>p{}</style></head><body><header>Site</header>
+<nav><ul><li>Home</ul></nav><div class="cookie-notice">We use cookies</div><article><h1>A &amp; B</h1>
+<p>One  <b>two</b><br>three<p>Four &lt;five&gt;<script>var x="</p>";</script></p><form>Mail</form>
+<aside>See also</aside><div class=comments><p>Nice!</p></div></article><div class="sidebar">Side</div>
+<footer>Foot</footer>"""
+
+
+def test_html_page():
+    text = lambda h: html_main.main_text(h, None)
+    assert text(ARTICLE) == "A & B\nOne two three\nFour <five>"
+    assert text(None) == text("") == text("<p></p><!-- x") == text("<a href='") == ""
+    assert text("plain &eacute; text") == "plain é text"
+    assert text("<div>a<p>b</div>c<ul><li>d<li>e</ul>") == "a\nb\nc\nd\ne"
+    assert text('<p title="a>b" class=x>in</p>') == "in"
+
+
+def test_html_broken_openers_are_linear():
+    import time
+    for piece in ("<a ", "<!-- ", "<script>", "<p title=\"", "</", "<div><p>", "<b>"):
+        start = time.perf_counter()
+        html_main.main_text(piece * (200_000 // len(piece)), None)
+        assert time.perf_counter() - start < 8, piece
+
+
+def test_style_tree(spark):
+    pages = [(i, f"http://h.org/{i}", f"<body><div class=bar>Follow the site</div><div class=text><p>"
+              f"story {i} " + " ".join(f"w{i * j}" for j in range(9)) + "</p></div></body>", "x")
+             for i in range(20)]
+    pages += [(90, None, None, "x"), (91, "no host", "<p>alone</p>", "x")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    out = {r["page_id"]: r["text"] for r in html_main.main_texts(df).collect()}
+    assert all(out[i].startswith(f"story {i} ") for i in range(20))
+    assert out[90] == "" and out[91] == "alone" and html_main.main_texts(df.limit(0)).count() == 0
+
+
+def test_pipeline(spark, odd, none, tmp_path):
+    for name, table in (("odd", odd), ("none", none)):
+        docs = table.drop("keep_id")
+        for stage, run in corpus_pipeline.STAGES:
+            run(spark, docs, str(tmp_path)).write.parquet(path := str(tmp_path / name / stage))
+            after = spark.read.parquet(path)
+            if stage != "packing":
+                assert after.columns == docs.columns, stage
+            docs = after
+    assert [n for n, _ in corpus_pipeline.STAGES] == [
+        "language_id", "line_dedup", "simhash_near_dedup", "mix_sources", "packing"]
+
+
+def test_pipeline_whole(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    out = corpus_pipeline.run(spark, folder).toPandas()
+    assert set(out.doc_id) <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert out.doc_id.nunique() > 0.7 * docs.count()
