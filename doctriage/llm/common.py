@@ -15,6 +15,8 @@ import doctriage
 # Rows below which a small side is broadcast; above, the join shuffles. The rows counted
 # are narrow (a few long columns), so that this bounds the bytes as well.
 BROADCAST_ROWS = 200_000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXTS_A_BATCH = 1000        # whole texts are long rows; a batch of them is held twice
 
 
 def read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
@@ -41,10 +43,13 @@ _SHIPPED: set[str] = set()
 def shipped(run):
     """``run(spark, ...)`` with this package sent to the executors first, once a session.
 
-    Functions that run there are then found wherever the driver was started.
+    Functions that run there are then found wherever the driver was started. Batches of
+    rows between Spark and Python are made smaller, if they have Spark's default size.
     """
     @wraps(run)
     def with_package(spark: SparkSession, *args):
+        if int(spark.conf.get(ARROW_ROWS)) == 10_000:
+            spark.conf.set(ARROW_ROWS, TEXTS_A_BATCH)
         context = spark.sparkContext
         if context.applicationId not in _SHIPPED:
             root = Path(doctriage.__file__).parent
