@@ -167,11 +167,12 @@ def best_rows(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
 
 
 def candidates(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``query, node, score``: the best ``k`` nodes in each leaf that a query visits."""
+    """``query, ids, scores``: the best ``k`` nodes in each leaf that a query visits."""
     rows, top = nodes.agg(F.count(F.lit(1)), F.max(F.aggregate(
         "vec", F.lit(0.0), lambda s, x: s + x * x))).first()
     if not rows:
-        return nodes.select(F.col("node").alias("query"), "node", F.lit(0.0).alias("score"))
+        return nodes.select(F.col("node").alias("query"), F.array("node").alias("ids"),
+                            F.array(F.lit(0.0)).alias("scores"))
     top = float(np.sqrt(top))
     sample = (nodes.orderBy(F.xxhash64("node")).limit(SAMPLE_ROWS).select("vec")
               .toArrow().column("vec").combine_chunks())
@@ -233,20 +234,18 @@ def candidates(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                         "node", "vec"))
 
     def rank(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+        found = []
         if len(rows) and len(asked):
             ids, vectors = rows["node"].to_numpy(), np.stack(rows["vec"].to_numpy())
-            for query, vec in zip(asked["node"], asked["vec"]):
-                found, scores = best_rows(vec, ids, vectors, k)
-                parts.append(pd.DataFrame({"query": query, "node": found, "score": scores}))
-        return pd.concat(parts) if parts else pd.DataFrame(
-            {"query": [], "node": [], "score": []}).astype({"query": int, "node": int})
+            found = [(query, *best_rows(vec, ids, vectors, k))
+                     for query, vec in zip(asked["node"], asked["vec"])]
+        return pd.DataFrame(found, columns=["query", "ids", "scores"])
 
     keys = ("leaf", "row", "query")
     stored = dealt(placed, "row", "query").filter(F.col("query").isNotNull())
     asked = dealt(visits, "query", "row")
     return (stored.groupBy(*keys).cogroup(asked.groupBy(*keys))
-            .applyInPandas(rank, "query bigint, node bigint, score double"))
+            .applyInPandas(rank, "query bigint, ids array<bigint>, scores array<double>"))
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec_id",
@@ -275,9 +274,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "
              .select(F.col("id").alias("query_id"), "node"))
     queries = nodes.join(asked.select("node").distinct(), "node", "left_semi")
 
-    found = candidates(nodes, queries, k + 1).distinct()
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    ranked = (found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
+    found = (candidates(nodes, queries, k + 1).groupBy("query")
+             .agg(F.flatten(F.collect_list(F.arrays_zip("ids", "scores"))).alias("found")))
+    best = F.array_distinct(F.transform("found", lambda f: F.struct(
+        (-f["scores"]).alias("far"), f["ids"].alias("node"))))
+    ranked = (found.select("query", F.explode(F.slice(F.array_sort(best), 1, k + 1)).alias("b"))
+              .select("query", F.col("b.node").alias("node"), (-F.col("b.far")).alias("score"))
               .join(members, "node").select("query", "score", "id"))
     by_id = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     lists = (ranked.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)
