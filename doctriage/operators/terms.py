@@ -144,19 +144,19 @@ def binary_bag(docs: DataFrame, key: str, text: str | Column, top: DataFrame) ->
             .groupBy(key).agg(F.array_sort(F.collect_list("index")).alias("indices")))
 
 
-def frequent_terms(docs: DataFrame, key: str, text: str | Column, size: int,
+def frequent_terms(docs: DataFrame, key: str, text: str | Column, size: int | None = None,
                    min_df: int = 1) -> DataFrame:
-    """``(term, n, df)`` of at most ``size`` terms, the most used ones."""
+    """``(term, n, df)`` of all terms, or of the ``size`` most used ones (ties by term)."""
     terms = (term_counts(docs, key, text).groupBy("term")
              .agg(F.sum("tf").alias("n"), F.count("*").alias("df")))
     terms = written(terms.filter(F.col("df") >= min_df), "vocabulary")
-    return terms.filter(F.col("n") > usage_cut(terms, size))
+    return terms if size is None else terms.orderBy(F.desc("n"), "term").limit(size)
 
 
-def usage_cut(terms: DataFrame, size: int) -> int:
-    """The use count above which at most ``size`` terms lie; 0 when all fit.
+def usage_cut(terms: DataFrame, size: int | None) -> int:
+    """The use count above which at most ``size`` terms lie; 0 when all fit or size is None.
 
     Terms tied at the cut are left out together, so the choice needs no order.
     """
-    excess = terms.count() - size
+    excess = terms.count() - size if size is not None else 0
     return cut_value(terms, F.col("n"), excess)[0] if excess > 0 else 0

@@ -19,8 +19,6 @@ from doctriage.operators.bayes import MAX_CLASSES
 from doctriage.operators.terms import each_term, frequent_terms, top_terms, usage_cut
 from doctriage.session import written
 
-VOCABULARY_LIMIT = 1 << 18          # terms held by the driver and sent to each task
-
 
 def word_tokenizer(text: str = "text", output: str = "words") -> Transformer:
     return RegexTokenizer(inputCol=text, outputCol=output, gaps=False, toLowercase=True,
@@ -33,16 +31,16 @@ def space_tokenizer(text: str = "text", output: str = "words") -> Transformer:
 
 
 def tfidf_stages(docs: DataFrame, key: str, text: str = "text", output: str = "features",
-                 vocabulary_size: int = VOCABULARY_LIMIT, min_df: int = 1) -> list:
+                 vocabulary_size: int | None = None, min_df: int = 1) -> list:
     """Fitted stages: words, counts, times ``ln((1+n)/(1+df)) + 1``, unit length.
 
     One grouped count gives vocabulary and document frequencies together, where fitting
-    a count and an IDF stage would pass over the corpus twice. The vocabulary is bounded
-    by ``vocabulary_size``.
+    a count and an IDF stage would pass over the corpus twice. The vocabulary holds all
+    terms, on the driver too, unless ``vocabulary_size`` bounds it.
     """
     n_docs = docs.count()
     chosen = frequent_terms(docs, key, text, vocabulary_size, min_df)
-    seen = chosen.select("term", "df").toArrow().to_pydict()   # at most vocabulary_size rows
+    seen = chosen.select("term", "df").toArrow().to_pydict()
     df = dict(zip(seen["term"], seen["df"]))
     if not df:
         raise ValueError("no term to build a vocabulary from")
@@ -72,13 +70,13 @@ def binary_bag_stages(docs: DataFrame, text: str = "text", output: str = "featur
 def document_embedding(docs: DataFrame, text: str = "text", output: str = "features",
                        size: int = 300, epochs: int = 30, step: float = 0.065,
                        min_count: int = 1, seed: int = 42,
-                       vocabulary_size: int = VOCABULARY_LIMIT) -> list:
+                       vocabulary_size: int | None = None) -> list:
     """Fitted stages: mean of learnt word vectors per document.
 
     Training is split over as many partitions as the cluster has cores; one partition,
     the library's default, would pass the whole corpus through one task. The learner
-    holds its vocabulary on the driver, so the least used words are left out when there
-    are more than ``vocabulary_size``.
+    holds its vocabulary, of all words, on the driver; with a ``vocabulary_size`` the least
+    used words are left out.
     """
     used = written(each_term(docs, words=space_tokens(text)).groupBy("term")
                    .agg(F.count("*").alias("n")), "words")

@@ -631,9 +631,10 @@ def score_stream(spark, folder):
     """The same over a file-drop stream, read back from its sink."""
     fitted, _ = _ml_bayes(spark, folder)
     table = read_table(spark, folder, "documents", "doc_id", "text")
-    cores = spark.sparkContext.defaultParallelism
-    drop = scoring.open_drop(spark, folder, table.schema, name_pattern="documents.parquet",
-                             tasks=cores if table.rdd.getNumPartitions() < cores else None)
+    # The table may be one file or a folder of part files: its rows are dropped as files here.
+    arrived = scratch_path(spark, "documents-drop")
+    table.repartition(spark.sparkContext.defaultParallelism).write.parquet(arrived)
+    drop = scoring.open_drop(spark, arrived, table.schema)
     scored = scoring.score(drop, fitted.pipeline, "general", "fixed").select(
         "doc_id", "model_label", "class", "outcome")
     output = scratch_path(spark, "scored")
@@ -655,12 +656,9 @@ def ocr_stream(spark, folder):
 
 # ---- learners without an SQL counterpart ---------------------------------------------
 
-MIN_DF = 2              # terms of a single document are left out of the fitted matrices
-
-
 def _tfidf_fit(spark, folder, learner) -> tuple[learners.Fitted, DataFrame]:
     train, test = corpus_parts(spark, folder)
-    stages = vectors.tfidf_stages(train, "doc_id", min_df=MIN_DF)
+    stages = vectors.tfidf_stages(train, "doc_id")
     return learners.fit_classifier(train, stages, "lang", learner), test
 
 
@@ -726,7 +724,7 @@ def training_history(spark, folder):
 def model_comparison(spark, folder):
     """Five classifiers on the same split, the same report, the best one marked."""
     train, test = corpus_parts(spark, folder)
-    stages = vectors.tfidf_stages(train, "doc_id", min_df=MIN_DF)
+    stages = vectors.tfidf_stages(train, "doc_id")
     fits = {name: learners.fit_classifier(train, stages, "lang", learner)
             for name, learner in [("naive_bayes", learners.naive_bayes),
                                   ("linear_svm", learners.linear_svm),
