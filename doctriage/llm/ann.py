@@ -30,6 +30,7 @@ TUNING_QUERIES = 100
 TUNING_RECALL = 0.96
 LEAST_BUDGET = 4096
 CHUNK = 4096                # vectors, or queries, of a leaf that one task holds
+FAN_IN = 1024               # lists of candidates of one query that are merged at a time
 
 
 @dataclass
@@ -166,8 +167,45 @@ def best_rows(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
     return ids[some][order], exact[order]
 
 
+def merged(found: DataFrame, parts: int, k: int) -> DataFrame:
+    """The best ``k`` candidates of each query, from its lists dealt over ``parts`` parts.
+
+    A node found in several trees has the same score in each list and is kept once. Lists
+    are merged in rounds of about ``FAN_IN``, so that no row grows with the table.
+    """
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            lists = batch.column("found")
+            ids, scores = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            ends = lists.offsets.to_numpy()
+            out_ids, out_scores = [], []
+            for at, end in zip(ends[:-1] - ends[0], ends[1:] - ends[0]):
+                order = at + np.lexsort((ids[at:end], -scores[at:end]))
+                again = np.r_[False, ids[order][1:] == ids[order][:-1]]
+                order = order[~again][:k]
+                out_ids.append(ids[order])
+                out_scores.append(scores[order])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("query"), batch.column("part"),
+                 pa.array(out_ids, pa.list_(pa.int64())),
+                 pa.array(out_scores, pa.list_(pa.float64()))],
+                names=["query", "part", "ids", "scores"])
+
+    while True:
+        found = (found.groupBy("query", "part")
+                 .agg(F.flatten(F.collect_list(F.arrays_zip("ids", "scores"))).alias("found"))
+                 .mapInArrow(shorten, "query bigint, part bigint, ids array<bigint>, "
+                                      "scores array<double>"))
+        if parts == 1:
+            return found.drop("part")
+        parts = -(-parts // FAN_IN)
+        found = found.withColumn("part", F.col("part") % parts)
+
+
 def candidates(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``query, ids, scores``: the best ``k`` nodes in each leaf that a query visits."""
+    """``query, ids, scores``: the best ``k`` nodes in the leaves that a query visits."""
     rows, top = nodes.agg(F.count(F.lit(1)), F.max(F.aggregate(
         "vec", F.lit(0.0), lambda s, x: s + x * x))).first()
     if not rows:
@@ -233,19 +271,23 @@ def candidates(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 .select("leaf", F.col("row").cast("int"), F.col("query").cast("int"),
                         "node", "vec"))
 
-    def rank(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    parts = -(-sum(-(-n // CHUNK) for n in held.values()) // FAN_IN)
+
+    def rank(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(rows) and len(asked):
             ids, vectors = rows["node"].to_numpy(), np.stack(rows["vec"].to_numpy())
-            found = [(query, *best_rows(vec, ids, vectors, k))
+            part = int(key[0] * 31 + key[1]) % parts
+            found = [(query, part, *best_rows(vec, ids, vectors, k))
                      for query, vec in zip(asked["node"], asked["vec"])]
-        return pd.DataFrame(found, columns=["query", "ids", "scores"])
+        return pd.DataFrame(found, columns=["query", "part", "ids", "scores"])
 
     keys = ("leaf", "row", "query")
     stored = dealt(placed, "row", "query").filter(F.col("query").isNotNull())
     asked = dealt(visits, "query", "row")
-    return (stored.groupBy(*keys).cogroup(asked.groupBy(*keys))
-            .applyInPandas(rank, "query bigint, ids array<bigint>, scores array<double>"))
+    ranked = stored.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
+        rank, "query bigint, part bigint, ids array<bigint>, scores array<double>")
+    return merged(ranked, parts, k)
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec_id",
@@ -274,12 +316,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "
              .select(F.col("id").alias("query_id"), "node"))
     queries = nodes.join(asked.select("node").distinct(), "node", "left_semi")
 
-    found = (candidates(nodes, queries, k + 1).groupBy("query")
-             .agg(F.flatten(F.collect_list(F.arrays_zip("ids", "scores"))).alias("found")))
-    best = F.array_distinct(F.transform("found", lambda f: F.struct(
-        (-f["scores"]).alias("far"), f["ids"].alias("node"))))
-    ranked = (found.select("query", F.explode(F.slice(F.array_sort(best), 1, k + 1)).alias("b"))
-              .select("query", F.col("b.node").alias("node"), (-F.col("b.far")).alias("score"))
+    ranked = (candidates(nodes, queries, k + 1)
+              .select("query", F.explode(F.arrays_zip("ids", "scores")).alias("b"))
+              .select("query", F.col("b.ids").alias("node"), F.col("b.scores").alias("score"))
               .join(members, "node").select("query", "score", "id"))
     by_id = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     lists = (ranked.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)

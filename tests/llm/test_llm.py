@@ -327,6 +327,23 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_merged_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(ann, "FAN_IN", 2)
+    lists = [(q, part, [(q * 7 + part * 3 + i) % 11 for i in range(4)]) for q in range(3)
+             for part in range(9)]
+    score = {(q, node): float(node * (q + 2) % 5) for q in range(3) for node in range(11)}
+    found = spark.createDataFrame([(q, part, ids, [score[q, i] for i in ids])
+                                   for q, part, ids in lists],
+                                  "query bigint, part bigint, ids array<bigint>, "
+                                  "scores array<double>")
+    got = {r["query"]: list(zip(r["ids"], r["scores"])) for r in ann.merged(found, 9, 5).collect()}
+    for q in range(3):
+        nodes = {i for at, _, ids in lists if at == q for i in ids}
+        assert got[q] == [(i, score[q, i]) for i in
+                          sorted(nodes, key=lambda i: (-score[q, i], i))[:5]]
+    assert len(got) == 3
+
+
 def test_pseudo_likelihood(spark, folder, odd, none):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     out = {r["doc_id"]: r for r in pseudo_lm.pseudo_likelihood(docs).collect()}
