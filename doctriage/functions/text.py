@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+import string
+from collections.abc import Callable, Iterable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
@@ -19,7 +20,7 @@ STYLE = r"(?is)<style\b[^>]*>.*?</style\s*>"
 QUOTED_TAG = r"""</?[a-zA-Z][^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*){0,200}>"""
 PLAIN_TAG = r"</?[a-zA-Z][^>]*>"
 DECLARATION = r"<[!?][^>]*>"
-ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+ENTITY = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 
 _ENTITIES = {**name2codepoint, "apos": ord("'")}
 _COMMON_ENTITIES = ("amp", "lt", "gt", "quot", "nbsp", "apos")
@@ -68,9 +69,10 @@ def _code_point(number: Column) -> Column:
 def _decode_piece(piece: Column, name: Column) -> Column:
     """Decode the entity ``name`` a piece starts with; the piece followed an ``&``."""
     rest = F.substr(piece, F.length(name) + 2)
-    number = F.when(F.lower(F.substring(name, 2, 1)) == "x",
-                    F.conv(F.substring(name, 3, 6), 16, 10)
-                    ).otherwise(F.substring(name, 2, 7)).cast("int")
+    hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
+    digits = F.ltrim(F.substr(name, F.when(hexadecimal, 3).otherwise(2)), F.lit("0"))
+    number = F.when(F.length(digits) <= 7, F.when(hexadecimal, F.conv(digits, 16, 10))
+                    .otherwise(digits).try_cast("int"))
     named = F.expr("map(" + sql_literals(
         x for n, cp in sorted(_ENTITIES.items()) for x in (n, chr(cp))) + ")")
     out = F.when(name == "", F.concat(F.lit("&"), piece))
@@ -90,6 +92,25 @@ def decode_entities(text: Column | str) -> Column:
                                     .otherwise(_decode_piece(p["piece"], p["name"]))), "")
 
 
+def _deleting(pattern: str, end: str) -> Callable[[Column], Column]:
+    """A function that deletes the matches of a pattern, all of which reach an ``end``.
+
+    What follows the last ``end`` and its ``>`` can hold no match and is not searched: an
+    opener without an end would else scan the rest of the text, once for each opener.
+    """
+    letters = "".join(sorted(set(end) & set(string.ascii_lowercase)))
+
+    def delete(text: Column) -> Column:
+        lowered = F.translate(text, letters.upper(), letters) if letters else text
+        after = F.substring_index(lowered, end, -1)
+        rest = F.lit(0) if end.endswith(">") else F.instr(after, ">")
+        stop = F.length(text) - F.length(after) + rest
+        return F.when(F.instr(lowered, end) > 0, F.concat(
+            F.regexp_replace(F.substr(text, F.lit(1), stop), pattern, ""),
+            F.substr(text, stop + 1))).otherwise(text)
+    return delete
+
+
 def html_to_text(html: Column | str, keep_scripts: bool = False) -> Column:
     """Text nodes of a page, joined without a separator, entities decoded.
 
@@ -97,11 +118,12 @@ def html_to_text(html: Column | str, keep_scripts: bool = False) -> Column:
     Text without ``<`` or ``&`` skips the work.
     """
     html = _col(html)
-    patterns = [COMMENT] + ([] if keep_scripts else [SCRIPT, STYLE])
-    out = html
-    for pattern in patterns + [QUOTED_TAG, PLAIN_TAG, DECLARATION]:
-        out = F.regexp_replace(out, pattern, "")
-    stripped = F.when(html.contains("<"), out).otherwise(html)
+    scripts = [] if keep_scripts else [(SCRIPT, "</script"), (STYLE, "</style")]
+    out = F.array(html)     # the lambda's variable stands for the text of the step before
+    for pattern, end in [(COMMENT, "-->"), *scripts, (QUOTED_TAG, ">"), (PLAIN_TAG, ">"),
+                         (DECLARATION, ">")]:
+        out = F.transform(out, _deleting(pattern, end))
+    stripped = F.when(html.contains("<"), out[0]).otherwise(html)
     return F.when(html.contains("&"), decode_entities(stripped)).otherwise(stripped)
 
 
