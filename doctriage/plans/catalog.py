@@ -584,9 +584,8 @@ def labelled_tree_scan(spark, folder):
     path = scratch_path(spark, "labelled-tree")
     (documents(spark, folder, "doc_id", "lang", "text").select("lang", "text")
      .write.option("maxRecordsPerFile", 1).partitionBy("lang").text(path))
-    found = files.read_labelled_tree(spark, path)
-    return found.filter(F.col("length") > 0).select("label", "length",
-                                                    F.md5("content").alias("digest"))
+    found = files.read_labelled_tree(spark, path, key="lang")
+    return found.select("label", "length", F.md5("content").alias("digest"))
 
 
 def _ml_bayes(spark, folder) -> tuple[learners.Fitted, DataFrame]:

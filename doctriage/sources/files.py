@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from doctriage.functions import fixed
@@ -10,14 +12,19 @@ LABELLED_TEXT = T.StructType([T.StructField("category", T.StringType(), True),
                               T.StructField("text", T.StringType(), True)])
 
 
-def read_labelled_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root/<label>/``: path, length, content and its label.
+def read_labelled_tree(spark: SparkSession, root: str, key: str | None = None) -> DataFrame:
+    """Every file below ``root/<label>/``, at any depth: path, length, content and its label.
 
-    ``content`` is read only when selected. Folders may also be named ``key=<label>``.
+    The label is the folder right below the root, as it is named; with ``key``, folders are
+    named ``key=<label>``. A file in the root itself has no label. ``content`` is read only
+    when selected. Spark's reader leaves out files of no bytes.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
-    folder = F.try_element_at(F.split("path", "/"), F.lit(-2))
-    return files.withColumn("label", F.regexp_replace(folder, "^[^=]*=", ""))
+    top = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
+    inside = F.split(F.substr("path", F.instr("path", top) + F.lit(len(top))), "/")
+    folder = F.when(F.size(inside) > 1, inside[0])
+    return files.withColumn("label", F.regexp_replace(folder, f"^{re.escape(key)}=", "")
+                            if key else folder)
 
 
 def suffix(name: Column | str) -> Column:

@@ -40,6 +40,18 @@ def test_labelled_tree(spark, tmp_path):
         ("pan", "1.txt"), ("pan", "2.txt"), ("aadhar", "3.txt")}
 
 
+def test_labelled_tree_names(spark, tmp_path):
+    for name in ["a=b/1.txt", "a=b/deep/er/2.txt", "kind=pan/3.txt", "top.txt"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    for root in [str(tmp_path), f"file://{tmp_path}/"]:
+        rows = files.read_labelled_tree(spark, root).select("label", "length").collect()
+        assert sorted(map(tuple, rows), key=str) == [
+            ("a=b", 1), ("a=b", 1), ("kind=pan", 1), (None, 1)]
+    keyed = files.read_labelled_tree(spark, str(tmp_path), key="kind").select("label").collect()
+    assert sorted(str(r[0]) for r in keyed) == ["None", "a=b", "a=b", "pan"]
+
+
 @pytest.mark.parametrize("header", [True, False])
 def test_csv(spark, tmp_path, header):
     rows = [("a", 'say "hi", \\ twice\n\nand more'), ("b", ""), (None, "x"), ("c", "tail ")]
