@@ -2,7 +2,8 @@
 
 A fingerprint is cut into so few segments that, of two fingerprints that link, at least
 one segment differs by one bit at most. Each segment is indexed under its variants with
-one bit wiped out, so such a pair meets under an equal key; the distance is then verified.
+one bit wiped out, so such a pair meets under an equal key; the distance is then verified,
+and for near copies, unless it is so small that it speaks for itself, the texts' similarity.
 """
 
 from __future__ import annotations
@@ -32,11 +33,15 @@ class Signature:
     """Words to a shingle, segments of the fingerprint, bits of each, largest distance.
 
     Every pair within ``2 * segments - 1`` bits is found for certain, whatever the data.
+    With a ``similarity``, pairs beyond ``sure_distance`` link only if the Jaccard
+    similarity of their sets of shingles is that large.
     """
     shingle: int
     segments: int
     segment_bits: int
     max_distance: int
+    sure_distance: int = 0
+    similarity: float | None = None
 
     @property
     def bits(self) -> int:
@@ -45,9 +50,10 @@ class Signature:
 
 CONTRACT = Signature(shingle=3, segments=2, segment_bits=32, max_distance=2)
 # Two documents of equal length whose sets of shingles have a Jaccard similarity s differ
-# in acos(2s / (1 + s)) / pi of the bits: 29 of 192 at 0.8. Pairs within 15 bits are found
-# for certain, and pairs at 29 bits with 79 %.
-NEAR = Signature(shingle=5, segments=8, segment_bits=24, max_distance=29)
+# in acos(2s / (1 + s)) / pi of the bits: 58 of 384 at 0.8, give or take 7. Pairs
+# within 31 bits are found for certain, pairs at 58 bits with 85 %.
+NEAR = Signature(shingle=5, segments=16, segment_bits=24, max_distance=76, sure_distance=35,
+                 similarity=0.8)
 
 
 def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -117,7 +123,8 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def wiped(value: Column, bit: Column) -> Column:
-    return value.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)))
+    one = F.lit(1).cast("bigint")
+    return value.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", one, bit)))
 
 
 def variants(nodes: DataFrame, signature: Signature) -> DataFrame:
@@ -129,19 +136,27 @@ def variants(nodes: DataFrame, signature: Signature) -> DataFrame:
     return nodes.select(F.explode(keys).alias("key"), "node")
 
 
-def star(nodes: np.ndarray, segs: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of nodes compared; each component comes back as links to its first node."""
-    far = np.zeros((len(nodes), len(nodes)), np.uint16)
+def forest(nodes: np.ndarray, segs: np.ndarray, max_distance: int
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of nodes compared; a spanning forest of least distances comes back, as its
+    links ``a, b, d`` within ``max_distance``."""
+    order = np.argsort(nodes)
+    nodes, segs = nodes[order], segs[order]
+    far = np.zeros((len(nodes), len(nodes)), np.int32)
     for column in segs.astype(np.uint64).T:
         far += np.bitwise_count(column[:, None] ^ column[None, :])
-    near, label = far <= max_distance, np.arange(len(nodes))
-    while True:
-        least = np.where(near, label[None, :], len(nodes)).min(axis=1)
-        if (least == label).all():
-            break
-        label = least
-    keep = label != np.arange(len(nodes))
-    return nodes[label[keep]], nodes[keep]
+    reached = 1 << 20
+    gap, tip, at = np.full(len(nodes), reached - 1), np.zeros(len(nodes), np.int64), 0
+    found = []
+    for _ in range(len(nodes) - 1):
+        gap[at] = reached
+        closer = (far[at] < gap) & (gap < reached)
+        gap[closer], tip[closer] = far[at][closer], at
+        at = int(gap.argmin())
+        if gap[at] <= max_distance:
+            found.append((tip[at], at, gap[at]))
+    a, b, d = np.array(found, np.int64).reshape(-1, 3).T
+    return np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b]), d
 
 
 def light_links(members: DataFrame, max_distance: int) -> DataFrame:
@@ -153,14 +168,15 @@ def light_links(members: DataFrame, max_distance: int) -> DataFrame:
             flat = column.flatten()
             nodes = flat.field("node").to_numpy()
             segs = flat.field("segs").flatten().to_numpy().reshape(len(nodes), -1)
-            found = [star(nodes[a:b], segs[a:b], max_distance) for a, b in zip(ends, ends[1:])]
-            left, right = (np.concatenate([np.zeros(0, np.int64), *x]) for x in
-                           (zip(*found) if found else ((), ())))
-            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["a", "b"])
+            found = [forest(nodes[a:b], segs[a:b], max_distance) for a, b in zip(ends, ends[1:])]
+            columns = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in columns],
+                names=["a", "b", "d"])
 
     return (members.groupBy("key")
             .agg(F.sort_array(F.collect_set(F.struct("node", "segs"))).alias("members"))
-            .select("members").distinct().mapInArrow(run, "a bigint, b bigint"))
+            .select("members").distinct().mapInArrow(run, "a bigint, b bigint, d bigint"))
 
 
 def two_bit_links(nodes: DataFrame, signature: Signature) -> DataFrame:
@@ -178,18 +194,19 @@ def two_bit_links(nodes: DataFrame, signature: Signature) -> DataFrame:
     met = (keyed.groupBy("i", "j", "rest").agg(F.collect_set("node").alias("ns"))
            .filter(F.size("ns") > 1))
     return (met.select(F.array_min("ns").alias("a"), F.explode("ns").alias("b"))
-            .filter(F.col("a") != F.col("b")).distinct())
+            .filter(F.col("a") != F.col("b")).distinct()
+            .withColumn("d", F.lit(signature.max_distance).cast("bigint")))
 
 
 def block_links(members: DataFrame, max_distance: int) -> DataFrame:
     """Links within the heavy keys: blocks of chunk against chunk, in numpy.
 
     ``members`` has ``key, n, node, segs``. Every pair of a key is compared, in tasks of
-    two chunks at most; a block returns no pairs but a star for each of its components.
+    two chunks at most; a block returns no pairs but a spanning forest.
     """
-    def stars(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = star(pdf["node"].to_numpy(), np.stack(pdf["segs"].to_numpy()), max_distance)
-        return pd.DataFrame({"a": a, "b": b})
+    def trees(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip("abd", forest(
+            pdf["node"].to_numpy(), np.stack(pdf["segs"].to_numpy()), max_distance))))
 
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     placed = (members.withColumn("chunks", chunks)
@@ -197,11 +214,11 @@ def block_links(members: DataFrame, max_distance: int) -> DataFrame:
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
               .select("key", F.least("mine", "other").alias("lo"),
                       F.greatest("mine", "other").alias("hi"), "node", "segs"))
-    return placed.groupBy("key", "lo", "hi").applyInPandas(stars, "a bigint, b bigint")
+    return placed.groupBy("key", "lo", "hi").applyInPandas(trees, "a bigint, b bigint, d bigint")
 
 
 def links(nodes: DataFrame, signature: Signature) -> DataFrame:
-    """Edges ``a, b`` that join all nodes ``(node, segs)`` within the largest distance."""
+    """Edges ``a, b, d`` that join all nodes ``(node, segs)`` within the largest distance."""
     keyed = variants(nodes, signature)
     met = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"),
                                            F.max("node").alias("b"))
@@ -214,8 +231,8 @@ def links(nodes: DataFrame, signature: Signature) -> DataFrame:
     left, right = (nodes.select(F.col("node").alias(x), F.col("segs").alias(f"segs_{x}"))
                    for x in "ab")
     near = (pairs.join(left, "a").join(right, "b")
-            .filter(distance(F.col("segs_a"), F.col("segs_b")) <= signature.max_distance)
-            .select("a", "b").union(light))
+            .select("a", "b", distance(F.col("segs_a"), F.col("segs_b")).cast("bigint").alias("d"))
+            .filter(F.col("d") <= signature.max_distance).union(light))
     heavy = members.filter(F.col("n") > LIGHT)
     if signature.bits == 64 and signature.segments == 2 and signature.max_distance == 2:
         some = heavy.select("node").distinct()
@@ -223,6 +240,47 @@ def links(nodes: DataFrame, signature: Signature) -> DataFrame:
     return near.union(block_links(heavy.join(nodes, "node"), signature.max_distance))
 
 
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``node, set``: the distinct shingles' hashes, 32 bits of each, of ``node, text``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.concatenate([np.zeros(0, "<u8"), *hashes]).astype("<u4")).tobytes()
+                    for hashes in (shingle_hashes(t.as_py(), shingle) for t in batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())],
+                                             names=["node", "set"])
+
+    return docs.select("node", "text").mapInArrow(run, "node bigint, set binary")
+
+
+def confirmed(edges: DataFrame, docs: DataFrame, signature: Signature) -> DataFrame:
+    """``a, b`` of the edges within the sure distance, and of those whose texts are similar.
+
+    ``docs`` has ``node, text``; of rows that share an id the least text is compared. Only
+    texts of edges beyond the sure distance are read as sets; their number is linear, as
+    the edges of each key are a forest.
+    """
+    edges = written(edges.distinct(), "near-edges")
+    doubtful = edges.filter(F.col("d") > signature.sure_distance).select("a", "b").distinct()
+    asked = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = (docs.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+    sets = written(shingle_sets(texts, signature.shingle), "shingle-sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= signature.similarity * (len(x) + len(y) - both))
+            yield (pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"])
+                   .filter(pa.array(keep, pa.bool_())))
+
+    similar = (doubtful.join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a")
+               .join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}), "b")
+               .select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint"))
+    return (edges.filter(F.col("d") <= signature.sure_distance).select("a", "b").union(similar))
+
+
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 signature: Signature = CONTRACT) -> DataFrame:
     """One row per document: ``id, segs, component_id``.
@@ -230,14 +288,19 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     Words are runs of characters other than ASCII white space, with A-Z in lower case. A
     text of fewer words than a shingle is one shingle; one without words, null or empty,
     has the fingerprint zero, which links like any other. Documents link when their
-    fingerprints differ in at most ``max_distance`` bits. ``component_id`` is the smallest
+    fingerprints differ in at most ``max_distance`` bits and, with a ``similarity``, the
+    texts are that similar. ``component_id`` is the smallest
     id that links reach. A null id takes part through its fingerprint if that has another
     id; with none, its component is null. Repeated rows each get a row.
     """
     prints = written(fingerprints(docs, id_column, text_column, signature), "fingerprints")
     nodes = written(prints.groupBy("segs").agg(F.min("id").alias("node"))
                     .filter(F.col("node").isNotNull()), "distinct-fingerprints")
-    roots = components(links(nodes, signature))
+    edges = links(nodes, signature)
+    if signature.similarity is not None:
+        edges = confirmed(edges, docs.select(F.col(id_column).cast("bigint").alias("node"),
+                                             F.col(text_column).alias("text")), signature)
+    roots = components(edges)
     named = (nodes.join(roots, "node", "left")
              .select("segs", F.coalesce("root", "node").alias("component_id")))
     return prints.join(named, "segs", "left").select("id", "segs", "component_id")
@@ -256,7 +319,8 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                signature: Signature = NEAR) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies, the smallest id.
 
-    Five-word shingles; documents link at an estimated similarity of 0.8 or more. Rows
+    Five-word shingles; documents link at a Jaccard similarity of 0.8 or more, which the
+    fingerprints alone decide if it is well above that, and the texts otherwise. Rows
     with a null id stay. Rows that repeat an id are one document, of which one stays.
     """
     stays = (near_groups(docs, id_column, text_column, signature)

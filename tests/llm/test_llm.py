@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -212,6 +213,33 @@ def test_near_dedup(spark, odd, none):
     assert simhash.near_dedup(none).count() == 0
 
 
+def test_near_groups_against_jaccard(spark):
+    """Copies with one to sixty of 400 words changed: links of true similarity only, and
+    nearly all of them."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = []
+    for _ in range(30):
+        words = [word() for _ in range(400)]
+        for changed in (0, 1, 4, 7, 9, 12, 20, 60):
+            copy = list(words)
+            for at in rng.sample(range(400), changed):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    pairs = {(a, b) for a in range(len(texts)) for b in range(a + 1, min(len(texts), a + 8))
+             if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r["id"]: r["component_id"] for r in
+           simhash.near_groups(docs, signature=simhash.NEAR).collect()}
+    want = union_find(len(texts), pairs)
+    together = lambda of: {(a, b) for a, b in combinations(range(len(texts)), 2)
+                           if of[a] == of[b]}
+    found, true = together(out), together(want)
+    assert found <= true and len(found) >= 0.9 * len(true)
+
+
+
 def test_language(spark, folder, odd, none):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     model = language.fit(docs)
