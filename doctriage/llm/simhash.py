@@ -23,6 +23,8 @@ from doctriage.session import written
 
 SEED = 42
 BLOCK = 1 << 16                 # shingles hashed at a time
+VARIANT_ROWS = 2_000_000        # variants that one task counts, about
+CROWDED_ROWS = 1_000_000        # crowded keys, two numbers each, that are broadcast
 LIGHT = 64                      # members of a key that are compared at once
 CHUNK = 512                     # members on one side of a block of a heavier key
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -50,9 +52,9 @@ class Signature:
 
 CONTRACT = Signature(shingle=3, segments=2, segment_bits=32, max_distance=2)
 # Two documents of equal length whose sets of shingles have a Jaccard similarity s differ
-# in acos(2s / (1 + s)) / pi of the bits: 58 of 384 at 0.8, give or take 7. Pairs
-# within 31 bits are found for certain, pairs at 58 bits with 85 %.
-NEAR = Signature(shingle=5, segments=16, segment_bits=24, max_distance=76, sure_distance=35,
+# in acos(2s / (1 + s)) / pi of the bits: 42 of 276 at 0.8, give or take 6. Pairs within 23
+# bits are found for certain, pairs at 42 bits with 77 %.
+NEAR = Signature(shingle=5, segments=12, segment_bits=23, max_distance=56, sure_distance=24,
                  similarity=0.8)
 
 
@@ -219,12 +221,13 @@ def block_links(members: DataFrame, max_distance: int) -> DataFrame:
 
 def links(nodes: DataFrame, signature: Signature) -> DataFrame:
     """Edges ``a, b, d`` that join all nodes ``(node, segs)`` within the largest distance."""
-    keyed = variants(nodes, signature)
+    tasks = -(-nodes.count() * signature.bits // VARIANT_ROWS)
+    keyed = variants(nodes.repartition(max(1, tasks), "node"), signature)
     met = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"),
                                            F.max("node").alias("b"))
                   .filter(F.col("n") > 1), "variant-keys")
     crowded = met.filter(F.col("n") > 2).select("key", "n")
-    members = written(keyed.join(small_side(crowded), "key"), "variant-members")
+    members = written(keyed.join(small_side(crowded, CROWDED_ROWS), "key"), "variant-members")
     light = light_links(members.filter(F.col("n") <= LIGHT).join(nodes, "node"),
                         signature.max_distance)
     pairs = met.filter(F.col("n") == 2).select("a", "b").distinct()
