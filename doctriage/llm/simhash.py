@@ -52,9 +52,9 @@ class Signature:
 
 CONTRACT = Signature(shingle=3, segments=2, segment_bits=32, max_distance=2)
 # Two documents of equal length whose sets of shingles have a Jaccard similarity s differ
-# in acos(2s / (1 + s)) / pi of the bits: 42 of 276 at 0.8, give or take 6. Pairs within 23
-# bits are found for certain, pairs at 42 bits with 77 %.
-NEAR = Signature(shingle=5, segments=12, segment_bits=23, max_distance=56, sure_distance=24,
+# in acos(2s / (1 + s)) / pi of the bits: 56 of 368 at 0.8, give or take 7. Pairs within 31
+# bits are found for certain, pairs at 56 bits with 86 %.
+NEAR = Signature(shingle=5, segments=16, segment_bits=23, max_distance=74, sure_distance=32,
                  similarity=0.8)
 
 
