@@ -400,6 +400,36 @@ def test_network_learns():
     assert (pseudo_lm.Network.from_flat(flat).flat() == flat).all()
 
 
+def test_words_told_apart(spark, monkeypatch):
+    """Rare words have their own counts, also if they share a code, and frequent ones of one
+    frequency are told apart by their neighbours."""
+    code = pseudo_lm.WordIds({})
+    junk = next(w for w in map("junk{}".format, range(100_000)) if code[w] == code["seldom"])
+    cut = pseudo_lm.usage_cut
+    monkeypatch.setattr(pseudo_lm, "usage_cut", lambda counts, size: cut(counts, 60))
+    rng = random.Random(4)
+    texts = []
+    for _ in range(1500):
+        k = rng.randrange(60)
+        texts.append(f"w{k} w{(k + 1) % 60} w{(k + 2) % 60} w{(k + 3) % 60} w{(k + 4) % 60}")
+    texts += ["seldom"] * 12 + [junk]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["log_likelihood"] for r in pseudo_lm.pseudo_likelihood(docs).collect()}
+    assert out[1500] - out[1512] == pytest.approx(np.log(12))
+    net = pseudo_lm.Network.fresh()
+    ids = [np.array([(k + i) % 60 for i in range(5)], np.uint16) for k in range(60)]
+    vocabulary = pseudo_lm.Vocabulary.of(np.r_[np.full(60, 100), np.zeros(pseudo_lm.WORDS - 60)])
+    words, _, slots, around = pseudo_lm.positions(ids, vocabulary)
+    assert len(set(slots)) == 60 and set(slots // pseudo_lm.IN_CLASS) == {0}
+    trainer = pseudo_lm.Trainer(net)
+    for _ in range(200):
+        trainer.step(around, slots)
+    assert net.log_probabilities(around, slots).mean() > np.log(1 / 60) + 2
+    everything = np.arange(pseudo_lm.WORDS)
+    same = np.repeat(around[:, 2:3], pseudo_lm.WORDS, axis=1)
+    assert np.exp(net.log_probabilities(same, everything)).sum() == pytest.approx(1, abs=1e-3)
+
+
 ARTICLE = """<html><head><title>T</title><style>p{}</style></head><body><header>Site</header>
 <nav><ul><li>Home</ul></nav><div class="cookie-notice">We use cookies</div><article><h1>A &amp; B</h1>
 <p>One  <b>two</b><br>three<p>Four &lt;five&gt;<script>var x="</p>";</script></p><form>Mail</form>
