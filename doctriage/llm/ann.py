@@ -308,10 +308,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "
               .orderBy(F.desc("count"), "size").first())
     good = good.filter(F.size("vec") == (length["size"] if length else 0))
     first_ids = Window.partitionBy("vec").orderBy("id")
-    kept = written(good.withColumn("n", F.row_number().over(first_ids))
-                   .filter(F.col("n") <= 2 * (k + 1)), "vectors")
+    kept = written(good.distinct().withColumn("n", F.row_number().over(first_ids))
+                   .filter(F.col("n") <= k + 1), "vectors")
     nodes = written(kept.filter(F.col("n") == 1).select(F.col("id").alias("node"), "vec"), "nodes")
-    members = (kept.select("vec", "id").distinct().join(nodes, "vec").select("node", "id"))
+    members = (kept.select("vec", "id").join(nodes, "vec").select("node", "id"))
     asked = (good.filter(F.col("id") % every == 0).distinct().join(nodes, "vec")
              .select(F.col("id").alias("query_id"), "node"))
     queries = nodes.join(asked.select("node").distinct(), "node", "left_semi")

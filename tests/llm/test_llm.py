@@ -355,6 +355,16 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_nearest_repeated_rows(spark):
+    """Rows that repeat don't push out other ids of the same vector."""
+    data = [(1, [1.0, 0.0])] * 60 + [(i, [1.0, 0.0]) for i in range(2, 21) for _ in range(3)]
+    data += [(40, [0.0, 1.0])]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    out = ann.nearest(table).toPandas()
+    mine = out[out.query_id == 20].sort_values("rank")
+    assert mine.vec_id.tolist() == [*range(1, 20), 40]
+
+
 def test_merged_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(ann, "FAN_IN", 2)
     lists = [(q, part, [(q * 7 + part * 3 + i) % 11 for i in range(4)]) for q in range(3)
