@@ -240,6 +240,51 @@ def test_near_groups_against_jaccard(spark):
 
 
 
+def test_near_copies_repeated_line(spark):
+    """A line that repeats decides nothing: the similarity is of sets."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    line = [word() for _ in range(28)]
+    texts = [" ".join([word() for _ in range(200)] + line * 40) for _ in range(20)]
+    copies = [t.replace(" ".join(line), "", 30) for t in texts]     # same sets, but for a seam
+    docs = spark.createDataFrame(list(enumerate(texts + copies + [" ".join(line * 40)] * 2)),
+                                 "doc_id long, text string")
+    out = {r["id"]: r["component_id"] for r in
+           simhash.near_groups(docs, signature=simhash.NEAR).collect()}
+    assert out == {i: i % 20 if i < 40 else 40 for i in range(42)}
+
+
+@pytest.mark.parametrize("light", [2, 64])
+def test_near_all_meeting_pairs(spark, monkeypatch, light):
+    """Families just under the threshold: every meeting pair is verified, not a forest's only."""
+    monkeypatch.setattr(simhash, "LIGHT", light)
+    rng = random.Random(3)
+    texts = []
+    for _ in range(2):
+        base = [f"{rng.random():.9f}" for _ in range(400)]
+        for _ in range(60):
+            copy = list(base)
+            for at in rng.sample(range(400), 6):
+                copy[at] = f"{rng.random():.9f}"
+            texts.append(" ".join(copy))
+    signature = simhash.NEAR
+    sets = [set(simhash.distinct_hashes(t, 5).tolist()) for t in texts]
+    segs = [simhash.segment_values(t, signature)[0] for t in texts]
+    near = lambda x: min(v.bit_count() for v in x) <= 1
+    pairs = set()
+    for a, b in combinations(range(len(texts)), 2):
+        gaps = [x ^ y for x, y in zip(segs[a], segs[b])]
+        both = len(sets[a] & sets[b])
+        if near(gaps) and sum(g.bit_count() for g in gaps) <= signature.max_distance \
+                and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            pairs.add((a, b))
+    want = union_find(len(texts), pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["id"]: r["component_id"] for r in
+           simhash.near_groups(docs, signature=signature).collect()}
+    assert [out[i] for i in range(len(texts))] == [want[i] for i in range(len(texts))]
+
+
 def test_language(spark, folder, odd, none):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     model = language.fit(docs)
