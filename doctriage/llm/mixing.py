@@ -4,15 +4,15 @@ Each source is cut into blocks of documents. In a round of ``sum(quotas)`` slots
 of quota q has q blocks; block k of them may not start before slot floor(k / w) and is due
 by slot ceil((k + 1) / w), with w = q / sum. Earliest deadline first among the released
 blocks meets every deadline, so that after any number of slots each source is less than
-one block away from its weight. At the end of a round every source is exactly on it, and
-so rounds are scheduled apart from each other, each in a task of its own.
+one block away from its share of the round. At the end of a round every source is less than
+one block away from its weight's share of all slots so far, as what a round's whole blocks
+leave over is carried to the next. So rounds are scheduled apart from each other.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,13 +21,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from doctriage.session import written
 
 BLOCK_DOCUMENTS = 16
-ROUND_SLOTS = 1024
+ROUND_SLOTS = 1024          # of a round at least
+SOURCE_SLOTS = 16           # of a round at least for each source
+KEPT_ROUNDS = 2048          # rounds whose schedule a task keeps
 BUCKET_DOCUMENTS = 4096     # documents that one task ranks at a time, on average
 TEMPERATURE = 0.5           # weights follow the source sizes to this power
 MAX_SOURCES = 100_000       # the list of sources is held by the driver and sent to tasks
 
 
-@lru_cache(maxsize=64)
 def earliest_deadline_first(blocks: tuple[int, ...]) -> list[list[int]]:
     """The slot of each block of each source, for ``blocks[s]`` blocks of source ``s``."""
     total = sum(blocks)
@@ -46,30 +47,58 @@ def earliest_deadline_first(blocks: tuple[int, ...]) -> list[list[int]]:
     return slots
 
 
-def quotas(weights: np.ndarray, slots: int) -> np.ndarray:
-    """Whole blocks a round: the weights' shares of ``slots``, rounded, one at least."""
-    return np.maximum(1, np.rint(weights / weights.sum() * slots)).astype(np.int64)
+def boundaries(sizes: np.ndarray, weights: np.ndarray, slots: int) -> np.ndarray:
+    """Blocks of each source before each round, and at the end: rounds + 1 by sources.
 
-
-def round_blocks(sizes: np.ndarray, quota: np.ndarray, number: int) -> np.ndarray:
-    """Blocks that each source has in a round: its quota, or what is left of it."""
-    return np.clip(sizes - number * quota, 0, quota)
-
-
-def slot_finder(sizes: np.ndarray, quota: np.ndarray):
+    A source's due grows by its weight's share of the slots, and at the end of a round it
+    has had the whole number below or above. What is left over is carried, so that the
+    error stays below one block however many rounds there are.
+    """
+    had, due = np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
+    out = [had]
+    while (there := had < sizes).any():
+        share = np.where(there, weights, 0)
+        due = due + share / share.sum() * slots
+        # Sums of shares that should be whole numbers are, but for their rounding.
+        low = np.maximum(np.floor(due + 1e-9).astype(np.int64), had)
+        high = np.maximum(np.ceil(due - 1e-9).astype(np.int64), low)
+        spare = int(np.rint(due[there].sum())) - int(low[there].sum())
+        could = np.flatnonzero(there & (high > low))
+        first = could[np.lexsort((could, (low[could] + 1 - due[could]) / weights[could]))]
+        low[first[:max(0, spare)]] += 1
+        had = np.where(there, np.minimum(low, sizes), had)
+        if (had > out[-1]).any():
+            out.append(had)
+    return np.array(out)
+
+
+def slot_finder(bounds: np.ndarray):
     """A function from arrays of source and block to release, deadline and slot."""
+    starts = bounds.sum(axis=1)
+    kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def schedule(n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n not in kept:
+            if len(kept) >= KEPT_ROUNDS:
+                kept.clear()
+            slots = earliest_deadline_first(tuple((bounds[n + 1] - bounds[n]).tolist()))
+            kept[n] = (np.array([x for mine in slots for x in mine], np.int32),
+                       np.cumsum([0, *map(len, slots)]))
+        return kept[n]
+
     def find(source: np.ndarray, block: np.ndarray) -> pd.DataFrame:
-        number = block // quota[source]
+        number = np.zeros(len(source), np.int64)
+        for s in np.unique(source):
+            at = source == s
+            number[at] = np.searchsorted(bounds[:, s], block[at], side="right") - 1
         out = np.zeros((3, len(source)), np.int64)
-        for n in np.unique(number):
-            blocks = round_blocks(sizes, quota, int(n))
-            slots = earliest_deadline_first(tuple(blocks.tolist()))
-            total, start = int(blocks.sum()), int(np.minimum(sizes, int(n) * quota).sum())
-            for i in np.flatnonzero(number == n):
-                s = int(source[i])
-                k, mine = int(block[i] - n * quota[s]), int(blocks[s])
-                out[:, i] = (start + k * total // mine, start - (-(k + 1) * total // mine),
-                             start + slots[s][k])
+        for n in np.unique(number).tolist():
+            (slots, first), total = schedule(n), int(starts[n + 1] - starts[n])
+            at = np.flatnonzero(number == n)
+            s = source[at]
+            k, mine = block[at] - bounds[n, s], bounds[n + 1, s] - bounds[n, s]
+            out[:, at] = starts[n] + np.array([k * total // mine, -(-(k + 1) * total // mine),
+                                               slots[first[s] + k]])
         return pd.DataFrame(dict(zip(("release", "deadline", "slot"), out)))
     return find
 
@@ -92,13 +121,13 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_column:
     """``docs`` with ``block, release, deadline, slot, place``: the place in the mixture.
 
     Reading in the order of ``(slot, place)`` gives the mixture: of the blocks that any
-    prefix within a round holds, each source's share is its weight's, to less than one
-    block. Every document is in the mixture once. A source that runs out leaves its share
+    prefix holds, each source's share is its weight's, to less than one block at the ends
+    of rounds and less than two within. Every document is in the mixture once. A source that runs out leaves its share
     to the others, in proportion to their weights, from the next round on; in the round it
     runs out in, all are spread in proportion to what they have there.
 
     ``weights`` maps sources to target weights, taken in proportion; a source that it
-    doesn't name, or a weight of zero, gets one block a round. Without it, a source's
+    doesn't name, or a weight of zero, counts as one block a round. Without it, a source's
     weight is its size to the power ``TEMPERATURE``. A null source is a source of its own.
     Within a source the order is by a hash of the id; repeated rows follow each other.
     Input columns of the added names are replaced. An empty table gives an empty result.
@@ -119,8 +148,10 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_column:
     sizes = -(-rows // block_documents)
     given = (np.array([(weights.get(r["__source"][1:]) if r["__source"] != "null" else None) or 0
                        for r in sources], float) if weights else rows.astype(float) ** TEMPERATURE)
-    quota = quotas(given, round_slots) if given.sum() > 0 else np.ones(len(rows), np.int64)
-    find = slot_finder(sizes, quota)
+    slots = max(round_slots, SOURCE_SLOTS * len(rows))
+    given = (np.where(given > 0, given, given.sum() / slots) if given.sum() > 0
+             else np.ones(len(rows)))
+    find = slot_finder(boundaries(sizes, given, slots))
 
     @F.pandas_udf("release bigint, deadline bigint, slot bigint")
     def scheduled(source: pd.Series, block: pd.Series) -> pd.DataFrame:

@@ -341,6 +341,18 @@ def test_mix(spark, odd, none):
     assert ordered.columns == docs.columns and ordered.count() == 3000
 
 
+@pytest.mark.parametrize("sources", [20, 5000])
+def test_mix_keeps_weights(sources):
+    """The error stays below one block after many rounds, also with many sources."""
+    weights = np.r_[1 / 3, np.full(sources - 1, 2 / 3 / (sources - 1))]
+    slots = max(mixing.ROUND_SLOTS, mixing.SOURCE_SLOTS * sources)
+    bounds = mixing.boundaries((weights * slots * 30.5).astype(int) + 1, weights, slots)
+    full = bounds[:30]
+    assert np.abs(full - full.sum(axis=1)[:, None] * weights).max() < 1
+    assert (np.diff(bounds, axis=0) >= 0).all() and full.sum(axis=1).tolist() == [
+        r * slots for r in range(30)]
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
