@@ -33,8 +33,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences."""
-    return packing.pack(docs)
+    """The pieces of packed sequences, which follow the mixture of sources: groups are ranges
+    of its slots. Its order is computed again, as rows are read in any order."""
+    slots = packing.GROUP_DOCUMENTS // mixing.BLOCK_DOCUMENTS
+    return packing.pack(mixing.mix(docs), group=F.floor(F.col("slot") / slots).cast("bigint"))
 
 
 STAGES = [("language_id", shipped(identify_languages)), ("line_dedup", shipped(drop_boilerplate)),

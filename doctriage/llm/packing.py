@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
 LENGTH = 1024
@@ -179,16 +179,17 @@ def pack_lengths(lengths: list[int], length: int = LENGTH) -> list[list[Piece]]:
 
 def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
          tokenizer: str = TOKENIZER, length: int = LENGTH,
-         group_documents: int = GROUP_DOCUMENTS) -> DataFrame:
+         group_documents: int = GROUP_DOCUMENTS, group: Column | None = None) -> DataFrame:
     """One row per piece: ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     A document is the ids of its whole text, then id 0; a null text is empty. Sequences
     hold at most ``length`` ids, and all that are shorter have a power of two of them, at
     most one of each power for each group. Groups are drawn by a hash of id and text, so
     one source or a long run of ids doesn't make a large one; repeated rows are packed
-    each. Token ids are made and used within the group's task; only the text is shuffled.
+    each. With a ``group``, a whole number, its equal values make the groups instead, and
+    sequence ids follow its order. Token ids are made and used within the group's task; only the text is shuffled.
     """
-    groups = max(1, -(-docs.count() // group_documents))
+    groups = max(1, -(-docs.count() // group_documents)) if group is None else 0
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         encode = encoder(tokenizer_path(tokenizer)).encode
@@ -213,7 +214,7 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     order = F.xxhash64(id_column, text_column)
     return (docs.select(F.col(id_column).cast("bigint").alias("id"),
                         F.col(text_column).alias("text"), order.alias("order"),
-                        F.pmod(order, F.lit(groups)).alias("group"))
+                        (F.pmod(order, F.lit(groups)) if group is None else group).alias("group"))
             .groupBy("group").applyInPandas(
                 run, "id bigint, start bigint, length bigint, ids_crc32 bigint, "
                      "doc_tokens bigint, sequence_id bigint, offset bigint")

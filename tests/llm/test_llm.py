@@ -353,6 +353,16 @@ def test_mix_keeps_weights(sources):
         r * slots for r in range(30)]
 
 
+def test_pipeline_sequences_follow_mixture(spark):
+    """A source that runs out early in the mixture is in the first sequences only."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("some text "), "id").alias("text"), F.lit("en").alias("lang"), F.when(
+        F.col("id") < 5900, "big").otherwise("low").alias("source"), F.lit(14).alias("n_chars"))
+    mixed = mixing.mix(docs).toPandas().set_index("doc_id").slot
+    out = corpus_pipeline.pack_sequences(spark, docs, "").toPandas()
+    assert (out.sequence_id // 2 ** 32 == out.doc_id.map(mixed) // 64).all()
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
