@@ -684,14 +684,14 @@ def w2v_logreg_report(spark, folder):
 
 def _embedded_fit(train: DataFrame, test: DataFrame) -> tuple[learners.Fitted, DataFrame]:
     """Word vectors are learnt on both parts; labels of the test part are not used."""
-    stages = vectors.document_embedding(corpus.concat_parts(train, test), size=50, epochs=2)
+    stages = vectors.document_embedding(corpus.concat_parts(train, test))
     return learners.fit_classifier(train, stages, "lang", learners.logistic_regression), test
 
 
 def _network_fit(train: DataFrame, test: DataFrame) -> tuple[learners.Fitted, DataFrame]:
     stages = vectors.binary_bag_stages(train)
     inputs = len(stages[-1].vocabulary)
-    learner = learners.neural_network(inputs, max_iter=30)
+    learner = learners.neural_network(inputs)
     return learners.fit_classifier(train, stages, "lang", learner), test
 
 

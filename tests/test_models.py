@@ -99,3 +99,21 @@ def test_stream_equals_batch(spark, folder, bayes, tmp_path):
     run()
     assert spark.read.schema(batch.schema).parquet(out).filter(
         F.col("doc_id") == 10 ** 6).first()["class"] == "gasbill"
+
+
+def test_registered_queries_train_in_full(monkeypatch):
+    """The operators' own sizes, epochs and iterations, not smaller ones."""
+    from types import SimpleNamespace
+    from doctriage.plans import catalog
+    asked = []
+    monkeypatch.setattr(catalog.corpus, "concat_parts", lambda *parts: None)
+    monkeypatch.setattr(catalog.vectors, "document_embedding",
+                        lambda docs, **settings: asked.append(settings) or [])
+    monkeypatch.setattr(catalog.vectors, "binary_bag_stages",
+                        lambda docs: [SimpleNamespace(vocabulary=["a"])])
+    monkeypatch.setattr(catalog.learners, "neural_network",
+                        lambda inputs, **settings: asked.append(settings))
+    monkeypatch.setattr(catalog.learners, "fit_classifier", lambda *_: None)
+    catalog._embedded_fit(None, None)
+    catalog._network_fit(None, None)
+    assert asked == [{}, {}]
