@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doctriage.llm import (ann, exact_dedup, html_main, language, line_dedup, mixing, packing,
-                           pseudo_lm, simhash, url_rules)
+from doctriage.llm import (ann, exact_dedup, fingerprints, html_main, language, line_dedup, mixing,
+                           packing, periodic, pseudo_lm, simhash, spelling, url_rules)
 from doctriage.llm.common import read, shipped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,20 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_main.main_texts(read(spark, folder, "pages", "page_id", "url", "html"))
+
+
+@query(spelling.SQL)
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return spelling.variant_groups(spelling.misspelt_words(docs))
+
+
+@query(fingerprints.SQL)
+def op12_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited_digests(read(spark, folder, "documents", "doc_id", "text"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periodic.with_planted_runs(read(spark, folder, "documents", "doc_id", "text"))
+    return periodic.run_digests(periodic.periodic_runs(docs))
