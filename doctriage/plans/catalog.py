@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from doctriage.functions import fixed
 from doctriage.functions.text import (clean_text, filterset_tokens, html_to_text, space_tokens,
                                       word_count, word_tokens)
-from doctriage.operators import bayes, corpus, learners, metrics, rules, splits, terms, vectors
+from doctriage.operators import (bayes, corpus, learners, metrics, rules, splits, terms, vectors,
+                                 vocabulary)
 from doctriage.plans import sql as S
 from doctriage.session import scratch_path, spread, written
 from doctriage.sources import files, ocr
@@ -655,10 +656,15 @@ def ocr_stream(spark, folder):
 
 # ---- learners without an SQL counterpart ---------------------------------------------
 
+def _tfidf_parts(train: DataFrame, test: DataFrame) -> list[DataFrame]:
+    """Sparse TF-IDF vectors of both parts; the vocabulary of the train part stays a table."""
+    known = vocabulary.fit_vocabulary(train, "doc_id", "text")
+    return [vocabulary.tfidf_vectors(known, part, "doc_id", "text", "lang") for part in (train, test)]
+
+
 def _tfidf_fit(spark, folder, learner) -> tuple[learners.Fitted, DataFrame]:
-    train, test = corpus_parts(spark, folder)
-    stages = vectors.tfidf_stages(train, "doc_id")
-    return learners.fit_classifier(train, stages, "lang", learner), test
+    train, test = _tfidf_parts(*corpus_parts(spark, folder))
+    return learners.fit_classifier(train, [], "lang", learner), test
 
 
 def _report(fitted: learners.Fitted, test: DataFrame, label: str = "lang") -> DataFrame:
@@ -723,13 +729,12 @@ def training_history(spark, folder):
 def model_comparison(spark, folder):
     """Five classifiers on the same split, the same report, the best one marked."""
     train, test = corpus_parts(spark, folder)
-    stages = vectors.tfidf_stages(train, "doc_id")
-    fits = {name: learners.fit_classifier(train, stages, "lang", learner)
-            for name, learner in [("naive_bayes", learners.naive_bayes),
-                                  ("linear_svm", learners.linear_svm),
-                                  ("logistic_regression", learners.logistic_regression)]}
-    fits["document_embedding"], _ = _embedded_fit(train, test)
-    fits["neural_network"], _ = _network_fit(train, test)
-    return learners.compare_models(
-        {name: learners.predict(fitted.pipeline, test, "lang")
-         for name, fitted in fits.items()}, "lang")
+    train_terms, test_terms = _tfidf_parts(train, test)
+    found = {}
+    for name, learner in [("naive_bayes", learners.naive_bayes), ("linear_svm", learners.linear_svm),
+                          ("logistic_regression", learners.logistic_regression)]:
+        fitted = learners.fit_classifier(train_terms, [], "lang", learner)
+        found[name] = learners.predict(fitted.pipeline, test_terms, "lang")
+    for name, fit in [("document_embedding", _embedded_fit), ("neural_network", _network_fit)]:
+        found[name] = learners.predict(fit(train, test)[0].pipeline, test, "lang")
+    return learners.compare_models(found, "lang")
