@@ -56,6 +56,25 @@ def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataF
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
+class Rounds:
+    """Written tables of successive rounds, of which only the last is kept.
+
+    A round's table may be computed from the one before, which is removed once it is written.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.last = spark, name, None
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, self.name)
+        df.write.parquet(path)
+        if self.last:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self.last)
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        self.last = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Repartition a scan only when it has fewer partitions than the cluster has cores.
 
