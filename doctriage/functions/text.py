@@ -5,25 +5,26 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Callable, Iterable
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
 from doctriage.functions import fixed
 
-# The patterns are plain enough for both Java and RE2 engines, so an SQL check can
-# use the very same text. The attribute repeat is bounded: an unbounded group repeat
-# would recurse once per attribute and can exhaust a task's stack on a broken page.
+# Possessive repeats neither backtrack nor recurse, so that a tag of any length and any
+# number of quoted values is matched on a constant stack.
 COMMENT = r"(?s)<!--.*?-->"
 SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
 STYLE = r"(?is)<style\b[^>]*>.*?</style\s*>"
-QUOTED_TAG = r"""</?[a-zA-Z][^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*){0,200}>"""
+QUOTED_TAG = r"""</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 PLAIN_TAG = r"</?[a-zA-Z][^>]*>"
 DECLARATION = r"<[!?][^>]*>"
-ENTITY = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
-_ENTITIES = {**name2codepoint, "apos": ord("'")}
-_COMMON_ENTITIES = ("amp", "lt", "gt", "quot", "nbsp", "apos")
+# Names of HTML 5 with their semicolons, and those that are read without one, by length.
+_NAMED = {name: chars for name, chars in html5.items() if name.endswith(";")}
+_UNENDED = sorted({len(name) for name in html5 if not name.endswith(";")}, reverse=True)
+_COMMON_REFERENCES = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;")
 
 _SEPARATOR_CLASS = "".join("\\" + c for c in fixed.SEPARATORS)
 _BREAKS = f"[ {_SEPARATOR_CLASS}]+"
@@ -60,34 +61,64 @@ def sql_literals(values: Iterable[str]) -> str:
 
 
 def _code_point(number: Column) -> Column:
-    """The character with this number; invalid numbers give the replacement character."""
+    """The text of a numeric reference, as browsers read it; null is a number too large.
+
+    Numbers of no character give the replacement character, control characters and
+    noncharacters give nothing, and 128 to 159 are read as Windows-1252.
+    """
     valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     raw = F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0"))
-    return F.decode(raw, "UTF-32")
+    windows = F.lit("".join(bytes([i]).decode("cp1252", "ignore") or chr(i)
+                            for i in range(0x80, 0xA0)))
+    nothing = (number.between(1, 8) | (number == 0x0B) | number.between(0x0E, 0x1F) | (number == 0x7F)
+               | number.between(0xFDD0, 0xFDEF) | (valid & (number % 0x10000 >= 0xFFFE)))
+    return (F.when(number.between(0x80, 0x9F), F.substr(windows, number - 0x7F, F.lit(1)))
+            .when(nothing, "").otherwise(F.decode(raw, "UTF-32")))
+
+
+def _by_first(names: dict[str, str]) -> Column:
+    """A literal map of maps: a name's first character, then the name. Lookups scan a map's keys,
+    so that two small maps are much faster than a large one."""
+    firsts: dict[str, list[str]] = {}
+    for name, chars in sorted(names.items()):
+        firsts.setdefault(name[0], []).extend((name, chars))
+    return F.expr("map(" + ", ".join(f"{sql_literals([first])}, map({sql_literals(pairs)})"
+                                     for first, pairs in firsts.items()) + ")")
+
+
+def _look_up(names: Column, name: Column) -> Column:
+    return F.try_element_at(F.try_element_at(names, F.left(name, F.lit(1))), name)
 
 
 def _decode_piece(piece: Column, name: Column) -> Column:
-    """Decode the entity ``name`` a piece starts with; the piece followed an ``&``."""
-    rest = F.substr(piece, F.length(name) + 2)
+    """Decode the reference ``name`` a piece starts with; the piece followed an ``&``.
+
+    A name without an entry is read as the longest one without a semicolon that it starts with.
+    """
+    rest = F.substr(piece, F.length(name) + 1)
     hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
-    digits = F.ltrim(F.substr(name, F.when(hexadecimal, 3).otherwise(2)), F.lit("0"))
-    number = F.when(F.length(digits) <= 7, F.when(hexadecimal, F.conv(digits, 16, 10))
-                    .otherwise(digits).try_cast("int"))
-    named = F.expr("map(" + sql_literals(
-        x for n, cp in sorted(_ENTITIES.items()) for x in (n, chr(cp))) + ")")
+    digits = F.ltrim(F.rtrim(F.substr(name, F.when(hexadecimal, 3).otherwise(2)), F.lit(";")),
+                     F.lit("0"))
+    number = F.when(digits == "", 0).when(F.length(digits) <= 7, F.when(
+        hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("int"))
+    named, unended = _by_first(_NAMED), _by_first(
+        {name: chars for name, chars in html5.items() if not name.endswith(";")})
+    prefixes = [F.when(F.length(name) >= size, F.concat(
+        _look_up(unended, F.left(name, F.lit(size))), F.substr(piece, F.lit(size + 1))))
+        for size in _UNENDED]
     out = F.when(name == "", F.concat(F.lit("&"), piece))
-    for common in _COMMON_ENTITIES:
-        out = out.when(name == common, F.concat(F.lit(chr(_ENTITIES[common])), rest))
+    for common in _COMMON_REFERENCES:
+        out = out.when(name == common, F.concat(F.lit(html5[common]), rest))
     return (out.when(name.startswith("#"), F.concat(_code_point(number), rest))
-            .otherwise(F.concat(F.coalesce(F.try_element_at(named, name),
-                                           F.concat(F.lit("&"), name, F.lit(";"))), rest)))
+            .otherwise(F.coalesce(F.concat(_look_up(named, name), rest), *prefixes,
+                                  F.concat(F.lit("&"), piece))))
 
 
 def decode_entities(text: Column | str) -> Column:
     """Decode character references in one pass (``&amp;lt;`` gives ``&lt;``)."""
     pieces = F.transform(F.split(_col(text), "&"), lambda piece, i: F.struct(
         i.alias("i"), piece.alias("piece"),
-        F.when(i == 0, "").otherwise(F.regexp_extract(piece, ENTITY, 1)).alias("name")))
+        F.when(i == 0, "").otherwise(F.regexp_extract(piece, REFERENCE, 0)).alias("name")))
     return F.array_join(F.transform(pieces, lambda p: F.when(p["i"] == 0, p["piece"])
                                     .otherwise(_decode_piece(p["piece"], p["name"]))), "")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from doctriage.functions import fixed, text as T
+from doctriage.functions import fixed
 
 
 def quoted(value: str) -> str:
@@ -13,13 +13,19 @@ def sql_list(values: list[str]) -> str:
     return ", ".join(quoted(v) for v in values)
 
 
+# Patterns of the check itself, written apart from those of the code. This engine's matcher
+# needs no guard against deep or slow matches.
+MARKUP = ["<!--(.|\\n)*?-->", "</?[A-Za-z](\"[^\"]*\"|'[^']*'|[^'\">])*>", "</?[A-Za-z][^>]*>",
+          "<[?!][^>]*>"]
+SCRIPTS = [f"(?i)<{name}\\b[^>]*>(.|\\n)*?</{name}[[:space:]]*>" for name in ("script", "style")]
+
+
 def html_sql(column: str, keep_scripts: bool = False) -> str:
-    """Markup removal and the named entities that plain pages use."""
+    """Markup removal and the references that plain pages use."""
     out = column
-    patterns = [T.COMMENT] + ([] if keep_scripts else [T.SCRIPT, T.STYLE])
-    for pattern in patterns + [T.QUOTED_TAG, T.PLAIN_TAG, T.DECLARATION]:
+    for pattern in MARKUP[:1] + ([] if keep_scripts else SCRIPTS) + MARKUP[1:]:
         out = f"regexp_replace({out}, {quoted(pattern)}, '', 'g')"
-    for name, char in [("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "),
+    for name, char in [("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "),
                        ("apos", "'"), ("copy", "©"), ("middot", "·"), ("amp", "&")]:
         out = f"replace({out}, '&{name};', {quoted(char)})"
     return out
