@@ -30,3 +30,17 @@ def first_page(pages: DataFrame, doc: str, page_no: str, text: str) -> DataFrame
 def numbered_first_page(pages: DataFrame, page_no: str = "page_no") -> DataFrame:
     """As ``first_page`` where pages count from one: a pushed-down filter."""
     return pages.filter(F.col(page_no) == 1)
+
+
+PAGED_RESPONSE = T.StructType([T.StructField("Blocks", T.ArrayType(T.StructType([
+    T.StructField("BlockType", T.StringType()), T.StructField("Text", T.StringType()),
+    T.StructField("Page", T.LongType())])))])
+
+
+def first_page_blocks(content: Column) -> Column:
+    """Blocks of the first page from a JSON response's bytes; blocks without a page are on it.
+
+    Null where the content is no response.
+    """
+    blocks = F.from_json(F.decode(content, "UTF-8"), PAGED_RESPONSE)["Blocks"]
+    return F.filter(blocks, lambda b: F.coalesce(b["Page"], F.lit(1)) == 1)

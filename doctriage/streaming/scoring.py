@@ -1,6 +1,7 @@
 """File-drop streams: the batch projections over files as they arrive.
 
-Scoring keeps no state, so output is append-only and needs no watermark.
+Scoring keeps no state, so output is append-only and needs no watermark. Only telling files
+that are dropped twice keeps state: one digest a file.
 """
 
 from __future__ import annotations
@@ -10,10 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from doctriage.functions.text import clean_text
 from doctriage.operators.learners import predict
-from doctriage.operators.rules import apply_flow
-from doctriage.sources.ocr import RESPONSE, assemble_lines
+from doctriage.operators.rules import apply_flow, outcome
+from doctriage.sources.files import route_media
+from doctriage.sources.ocr import RESPONSE, assemble_lines, first_page_blocks
 
 FILES_PER_BATCH = 1_000
+BINARY_FILE = T.StructType([T.StructField("path", T.StringType()),
+                            T.StructField("modificationTime", T.TimestampType()),
+                            T.StructField("length", T.LongType()),
+                            T.StructField("content", T.BinaryType())])
 
 
 def open_drop(spark: SparkSession, folder: str, schema: T.StructType, form: str = "parquet",
@@ -50,6 +56,59 @@ def score(docs: DataFrame, model: PipelineModel, flow: str, mode: str = "compat"
     return decided.select(key, "model_label", "result.*")
 
 
+def open_file_drop(spark: SparkSession, folder: str,
+                   files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """New files below a folder, of any kind, as ``(file_name, content)``."""
+    found = (spark.readStream.format("binaryFile").schema(BINARY_FILE)
+             .option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
+             .load(folder))
+    return found.select(F.substring_index("path", "/", -1).alias("file_name"), "content")
+
+
+def once(files: DataFrame) -> DataFrame:
+    """``files`` without those that were dropped before, under the same name and content.
+
+    On a stream the digests seen are its state, which restarts keep.
+    """
+    return (files.withColumn("digest", F.sha2("content", 256))
+            .dropDuplicates(["file_name", "digest"]).drop("digest"))
+
+
+def classify_files(files: DataFrame, model: PipelineModel, flow: str, mode: str = "compat"
+                   ) -> DataFrame:
+    """From files to final labels: gate, lines of the first page, cleaning, model, flow, outcome.
+
+    ``files`` has ``file_name`` and ``content``, the OCR response of the file as JSON; other columns
+    are kept. A file of another kind is an invalid document whatever it holds; content that
+    is no response is an error. One plan of projections, for batch and stream alike.
+    """
+    kept = [c for c in files.columns if c != "content"]
+    rejected = F.col("route") == "rejected"
+    lines = assemble_lines(first_page_blocks(F.col("content")))
+    texts = route_media(files, "file_name").withColumn(
+        "_clean", clean_text(F.when(~rejected, lines)))
+    ready = texts.select(*kept, "route", "_clean", F.coalesce("_clean", F.lit("")).alias("text"))
+    scored = (predict(model, ready, *kept, "route", "_clean")
+              .withColumn("model_label", F.when(F.col("_clean").isNotNull(), F.col("prediction"))))
+    decided = apply_flow(scored, flow, mode, "_clean")
+    final = outcome(F.col("result.class"), F.col("result.outcome") == "error", rejected)
+    return decided.select(*kept, "route", "model_label", final.alias("final")).select(
+        *kept, "route", "model_label", "final.*")
+
+
+def drain_by_outcome(results: DataFrame, output: str, checkpoint: str) -> None:
+    """As ``drain``, into one folder for each batch and outcome.
+
+    A batch that is repeated after a failure overwrites its own folder, so that each result
+    is there once.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy("outcome").parquet(f"{output}/batch={number}")
+
+    (results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
 def drain(stream: DataFrame, output: str, checkpoint: str) -> None:
     """Process what has arrived and stop; a restart goes on where it left off."""
     (stream.writeStream.format("parquet").outputMode("append")
