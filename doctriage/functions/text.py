@@ -76,18 +76,20 @@ def _code_point(number: Column) -> Column:
             .when(nothing, "").otherwise(F.decode(raw, "UTF-32")))
 
 
-def _by_first(names: dict[str, str]) -> Column:
-    """A literal map of maps: a name's first character, then the name. Lookups scan a map's keys,
-    so that two small maps are much faster than a large one."""
+def two_level_map(entries: dict[str, str | int]) -> Column:
+    """A literal map of maps: a key's first character, then the key. Lookups scan a map's keys,
+    so that small maps are much faster than a large one."""
     firsts: dict[str, list[str]] = {}
-    for name, chars in sorted(names.items()):
-        firsts.setdefault(name[0], []).extend((name, chars))
-    return F.expr("map(" + ", ".join(f"{sql_literals([first])}, map({sql_literals(pairs)})"
+    for key, value in sorted(entries.items()):
+        shown = f"{value}L" if isinstance(value, int) else sql_literals([value])
+        firsts.setdefault(key[:1], []).append(f"{sql_literals([key])}, {shown}")
+    return F.expr("map(" + ", ".join(f"{sql_literals([first])}, map({', '.join(pairs)})"
                                      for first, pairs in firsts.items()) + ")")
 
 
-def _look_up(names: Column, name: Column) -> Column:
-    return F.try_element_at(F.try_element_at(names, F.left(name, F.lit(1))), name)
+def look_up(entries: Column, key: Column) -> Column:
+    """A key's value in a ``two_level_map``; null where it has none."""
+    return F.try_element_at(F.try_element_at(entries, F.left(key, F.lit(1))), key)
 
 
 def _decode_piece(piece: Column, name: Column) -> Column:
@@ -101,16 +103,16 @@ def _decode_piece(piece: Column, name: Column) -> Column:
                      F.lit("0"))
     number = F.when(digits == "", 0).when(F.length(digits) <= 7, F.when(
         hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("int"))
-    named, unended = _by_first(_NAMED), _by_first(
+    named, unended = two_level_map(_NAMED), two_level_map(
         {name: chars for name, chars in html5.items() if not name.endswith(";")})
     prefixes = [F.when(F.length(name) >= size, F.concat(
-        _look_up(unended, F.left(name, F.lit(size))), F.substr(piece, F.lit(size + 1))))
+        look_up(unended, F.left(name, F.lit(size))), F.substr(piece, F.lit(size + 1))))
         for size in _UNENDED]
     out = F.when(name == "", F.concat(F.lit("&"), piece))
     for common in _COMMON_REFERENCES:
         out = out.when(name == common, F.concat(F.lit(html5[common]), rest))
     return (out.when(name.startswith("#"), F.concat(_code_point(number), rest))
-            .otherwise(F.coalesce(F.concat(_look_up(named, name), rest), *prefixes,
+            .otherwise(F.coalesce(F.concat(look_up(named, name), rest), *prefixes,
                                   F.concat(F.lit("&"), piece))))
 
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from doctriage.functions.text import filterset_tokens, word_tokens
+from doctriage.functions.text import filterset_tokens, look_up, two_level_map, word_tokens
 from doctriage.operators.splits import cut_value
 from doctriage.session import keyed_by_document, written
 
@@ -53,12 +53,13 @@ def document_frequency(docs: DataFrame, text: str | Column) -> DataFrame:
 
 
 def join_terms(rows: DataFrame, terms: DataFrame, n_terms: int, term_bytes: int,
-               how: str = "inner", frequency: str = "df",
-               budget: int | None = None) -> DataFrame:
+               how: str = "inner", frequency: str = "df", budget: int | None = None,
+               wide: int = 0) -> DataFrame:
     """Join term rows with a table of one row per term, safe for hot terms.
 
     ``n_terms`` and ``term_bytes`` are the counted rows of ``terms`` and the summed
-    length of its terms. If the table fits the budget it is broadcast and the rows stay
+    length of its terms, and of its columns of varying width, of which a row has at most
+    ``wide`` bytes. If the table fits the budget it is broadcast and the rows stay
     where they are. Otherwise the most frequent terms that fit are broadcast; they take
     the hot terms and most rows. Only rows of rare terms are shuffled, so no single term
     fills a partition; a frequent term too long to broadcast is left to the skew join.
@@ -66,7 +67,7 @@ def join_terms(rows: DataFrame, terms: DataFrame, n_terms: int, term_bytes: int,
     budget = BROADCAST_BYTES if budget is None else budget
     if term_bytes + n_terms * row_bytes(terms) <= budget:
         return rows.join(F.broadcast(terms), "term", how)
-    limit = max(1, budget // (LONG_TERM + row_bytes(terms)))
+    limit = max(1, budget // (LONG_TERM + row_bytes(terms) + wide))
     short = F.octet_length("term") <= LONG_TERM
     frequent = short
     if n_terms > limit:
@@ -132,16 +133,24 @@ def top_terms(docs: DataFrame, text: str | Column, max_words: int = 1000) -> Dat
     return top.withColumn("index", F.row_number().over(order).cast("long"))
 
 
-def binary_bag(docs: DataFrame, key: str, text: str | Column, top: DataFrame) -> DataFrame:
-    """``(key, indices)``: sorted indices of the top terms each document holds.
+def bag_indices(text: str | Column, top: DataFrame) -> Column:
+    """The sorted indices of the top terms that a text holds; none for a null text.
 
-    ``top`` has at most ``max_words`` rows, so it is broadcast. Distinct terms per
-    document come from the row; the one shuffle is of partial lists by document.
+    ``top`` has at most ``max_words`` rows, which become a literal map, so that a text is looked
+    up where it is: no row per word, no join, no shuffle.
     """
-    words = docs.select(key, F.explode_outer(
-        F.array_distinct(filterset_tokens(text))).alias("term"))
-    return (words.join(F.broadcast(top.select("term", "index")), "term", "left")
-            .groupBy(key).agg(F.array_sort(F.collect_list("index")).alias("indices")))
+    entries = {r["term"]: r["index"] for r in top.select("term", "index").collect()}
+    none = F.array().cast("array<bigint>")
+    if not entries:
+        return none
+    table = two_level_map(entries)
+    found = F.transform(F.array_distinct(filterset_tokens(text)), lambda term: look_up(table, term))
+    return F.coalesce(F.array_sort(F.filter(found, lambda i: i.isNotNull())), none)
+
+
+def binary_bag(docs: DataFrame, key: str, text: str | Column, top: DataFrame) -> DataFrame:
+    """``(key, indices)`` of each row: sorted indices of the top terms it holds."""
+    return docs.select(key, bag_indices(text, top).alias("indices"))
 
 
 def frequent_terms(docs: DataFrame, key: str, text: str | Column, size: int | None = None,

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, ElementwiseProduct,
                                 Normalizer, OneHotEncoder, RegexTokenizer, SQLTransformer,
@@ -11,14 +14,16 @@ from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, Elementwi
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from doctriage.functions import fixed
 from doctriage.functions.text import space_tokens
-from doctriage.operators.bayes import MAX_CLASSES
 from doctriage.operators.terms import each_term, frequent_terms, top_terms, usage_cut
 from doctriage.session import written
 
+MEANS_A_PASS = 20_000               # class means that tasks hold at once
+ROWS_A_PRODUCT = 256                # rows compared with them at once
+
 
 def word_tokenizer(text: str = "text", output: str = "words") -> Transformer:
     return RegexTokenizer(inputCol=text, outputCol=output, gaps=False, toLowercase=True,
@@ -89,8 +94,9 @@ def document_embedding(docs: DataFrame, text: str = "text", output: str = "featu
 
 
 def vector_lookup(tags: DataFrame, vectors: DataFrame, tag: str, vector_key: str) -> DataFrame:
-    """Vectors of the tagged rows, by key."""
-    return tags.join(vectors, F.col(tag) == F.col(vector_key))
+    """The tagged rows with their vectors, by key; ``found`` is false where there is none."""
+    return tags.join(vectors.withColumn("found", F.lit(True)), F.col(tag) == F.col(vector_key),
+                     "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def label_index(label: str = "label", output: str = "label_index") -> StringIndexer:
@@ -114,26 +120,75 @@ def embedding_features(df: DataFrame, embedding: str, output: str = "features")
 
 # ---- nearest centroid: a closed-form classifier on embeddings ----------------------
 
-def fit_centroids(df: DataFrame, embedding: str, label: str) -> dict:
-    """``{label: mean vector}``; partial means per partition, one row per class."""
-    rows = (embedding_features(df.filter(F.col(label).isNotNull()), embedding)
-            .groupBy(label).agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("mean"))
-            .orderBy(label).limit(MAX_CLASSES + 1).collect())
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    return {r[label]: list(r["mean"]) for r in rows}
-
-
-def nearest_centroid(centroids: dict, embedding: Column) -> Column:
-    """``struct<distance, prediction>`` of the closest mean; ties go to the first label."""
-    values = embedding.cast("array<double>")
-    table = F.array(*[F.struct(F.lit(name).alias("prediction"),
-                               F.array(*[F.lit(v) for v in mean]).alias("mean"))
-                      for name, mean in centroids.items()])
-
-    def distance(entry: Column) -> Column:
-        gaps = F.zip_with(values, entry["mean"], lambda a, b: (a - b) * (a - b))
-        return F.struct(F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g))
-                        .alias("distance"), entry["prediction"].alias("prediction"))
-
-    return F.array_min(F.transform(table, distance))
+def fit_centroids(df: DataFrame, embedding: str, label: str) -> DataFrame:
+    """``(label, mean)`` as a written table; partial means per partition, one row per class.
+
+    Rows without a label or an embedding are not counted.
+    """
+    known = df.filter(F.col(label).isNotNull() & F.col(embedding).isNotNull())
+    return written(embedding_features(known, embedding).groupBy(F.col(label).alias("label")).agg(
+        vector_to_array(Summarizer.mean(F.col("features"))).alias("mean")), "centroids")
+
+
+def nearer(points: np.ndarray, names: list, means: np.ndarray) -> tuple[list, np.ndarray]:
+    """The closest of some means to each point, and its distance; ties go to the first name.
+
+    One matrix product ranks them; all that lie within its rounding of the best are then
+    measured as they are.
+    """
+    rough = (means * means).sum(axis=1) - 2 * points @ means.T
+    scale = (means * means).sum(axis=1).max() + (points * points).sum(axis=1)
+    close = rough <= (rough.min(axis=1) + 1e-12 * (1 + scale))[:, None]
+    best, distance = np.zeros(len(points), np.int64), np.full(len(points), np.inf)
+    row, place = np.nonzero(close)
+    exact = np.sqrt(((points[row] - means[place]) ** 2).sum(axis=1))
+    order = np.lexsort((place, exact, row))
+    first = np.unique(row[order], return_index=True)[1]
+    best[row[order][first]], distance[row[order][first]] = place[order][first], exact[order][first]
+    return [names[i] for i in best], distance
+
+
+def predict_centroids(df: DataFrame, embedding: str, centroids: DataFrame,
+                      means_a_pass: int = MEANS_A_PASS) -> DataFrame:
+    """``df`` with ``prediction`` and ``distance`` of the closest mean, for any number of classes.
+
+    Means are sent to the tasks in parts of bounded size, in label order; each part is one
+    matrix product a batch of rows and leaves the nearest so far, so that no row is ever paired
+    with a class. A row without an embedding has no prediction; neither has any without classes.
+    """
+    label_type = centroids.schema["label"].dataType
+    out = df.withColumns({"prediction": F.lit(None).cast(label_type),
+                          "distance": F.lit(None).cast("double")})
+    schema = out.schema
+
+    def compare(names: list, means: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = {f: batch.column(f) for f in ("prediction", "distance")}
+                rows = batch.column(embedding).to_pylist()
+                places = [i for i, r in enumerate(rows) if r is not None]
+                found, best = columns["prediction"].to_pylist(), columns["distance"].to_pylist()
+                for at in range(0, len(places), ROWS_A_PRODUCT):
+                    some = places[at:at + ROWS_A_PRODUCT]
+                    near = nearer(np.array([rows[i] for i in some], np.float64), names, means)
+                    for i, name, distance in zip(some, *near):
+                        if best[i] is None or distance < best[i]:
+                            found[i], best[i] = name, float(distance)
+                for name, values in (("prediction", found), ("distance", best)):
+                    index = batch.schema.get_field_index(name)
+                    batch = batch.set_column(index, batch.schema.field(index),
+                                             pa.array(values, batch.schema.field(index).type))
+                yield batch
+        return run
+
+    ordered, after = centroids.orderBy("label"), None
+    while True:
+        rest = ordered if after is None else ordered.filter(F.col("label") > F.lit(after))
+        part = rest.limit(means_a_pass).collect()
+        if not part:
+            return out
+        after = part[-1]["label"]
+        out = out.mapInArrow(compare([r["label"] for r in part],
+                                     np.array([r["mean"] for r in part])), schema)
+        if len(part) < means_a_pass:
+            return out

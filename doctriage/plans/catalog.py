@@ -291,8 +291,8 @@ def union_tagged(spark, folder):
 
 @query("""SELECT d.doc_id, 'Train_' || d.doc_id AS tag, e.label::BIGINT AS label,
   len(e.embedding)::BIGINT AS n_dims,
-  round(sqrt(list_sum(list_transform(e.embedding::DOUBLE[], lambda x: x * x))), 6) AS norm
-  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""")
+  round(sqrt(list_sum(list_transform(e.embedding::DOUBLE[], lambda x: x * x))), 6) AS norm,
+  e.vec_id IS NOT NULL AS found FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
 def vector_lookup(spark, folder):
     tags = read_table(spark, folder, "documents", "doc_id").withColumn(
         "tag", F.concat(F.lit("Train_"), F.col("doc_id").cast("string")))
@@ -300,8 +300,8 @@ def vector_lookup(spark, folder):
     squares = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0),
                           lambda total, x: total + x * x)
     return found.select("doc_id", "tag", long(F.col("label")).alias("label"),
-                        long(F.size("embedding")).alias("n_dims"),
-                        F.round(F.sqrt(squares), 6).alias("norm"))
+                        long(F.when(F.col("found"), F.size("embedding"))).alias("n_dims"),
+                        F.round(F.sqrt(squares), 6).alias("norm"), "found")
 
 
 # ---- terms ---------------------------------------------------------------------------
@@ -354,8 +354,9 @@ def matrix_shapes(spark, folder):
         F.count_if(~splits.is_test("doc_id")).alias("n_train"),
         F.count_if(splits.is_test("doc_id")).alias("n_test"),
         F.count_distinct(F.when(~splits.is_test("doc_id"), F.col("lang"))).alias("n_classes"))
-    n_terms = terms.document_frequency(train, clean_text("text")).count()
-    return sizes.withColumn("n_terms", F.lit(n_terms).cast("bigint"))
+    n_terms = terms.document_frequency(train, clean_text("text")).agg(F.count("*").alias("n_terms"))
+    return sizes.unionByName(n_terms, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ("n_train", "n_test", "n_terms", "n_classes")])
 
 
 @query("""SELECT doc_id, lang, (dense_rank() OVER (ORDER BY lang) - 1)::DOUBLE AS label_index
@@ -395,9 +396,8 @@ def nb_predict(spark, folder):
 @query(f"""WITH {S.bayes_sql()} SELECT id AS doc_id, class, round(probability, 6) AS probability
   FROM probabilities""")
 def nb_probability(spark, folder):
-    model, scored = _bayes(spark, folder)
-    pairs = F.arrays_zip(F.array(*[F.lit(c) for c in model.classes]).alias("class"),
-                         F.col("probability"))
+    _, scored = _bayes(spark, folder)
+    pairs = F.arrays_zip(F.col("classes").alias("class"), F.col("probability"))
     return (scored.select("doc_id", F.inline(pairs))
             .select("doc_id", "class", F.round("probability", 6).alias("probability")))
 
@@ -413,7 +413,7 @@ def nb_report(spark, folder):
     + " FROM predictions GROUP BY label")
 def nb_confusion(spark, folder):
     model, scored = _bayes(spark, folder)
-    return metrics.confusion_matrix(scored, model.classes)
+    return metrics.confusion_matrix(scored, model.names())
 
 
 @query(f"""WITH {S.bayes_sql()} SELECT count(*) AS n,
@@ -421,8 +421,8 @@ def nb_confusion(spark, folder):
   round(avg(-ln(least(greatest(q.probability, 1e-15), 1 - 1e-15))), 6) AS log_loss
   FROM predictions p JOIN probabilities q ON q.id = p.id AND q.class = p.label""")
 def nb_evaluate(spark, folder):
-    model, scored = _bayes(spark, folder)
-    place = F.array_position(F.array(*[F.lit(c) for c in model.classes]), F.col("label"))
+    _, scored = _bayes(spark, folder)
+    place = F.array_position("classes", F.col("label"))
     own = F.when(place > 0, F.get("probability", place.cast("int") - 1)).otherwise(0.0)
     return metrics.evaluate(scored, own)
 
@@ -450,11 +450,9 @@ SELECT vec_id, e.label::BIGINT AS label, d.label::BIGINT AS prediction,
 def centroid_predict(spark, folder):
     points = read_spread(spark, folder, "embeddings", "vec_id", "embedding", "label")
     centroids = vectors.fit_centroids(points, "embedding", "label")
-    nearest = vectors.nearest_centroid(centroids, F.col("embedding"))
-    return points.withColumn("nearest", nearest).select(
-        "vec_id", long(F.col("label")).alias("label"),
-        long(F.col("nearest.prediction")).alias("prediction"),
-        F.round("nearest.distance", 6).alias("distance"))
+    return vectors.predict_centroids(points, "embedding", centroids).select(
+        "vec_id", long(F.col("label")).alias("label"), long(F.col("prediction")).alias("prediction"),
+        F.round("distance", 6).alias("distance"))
 
 
 # ---- gates, labels, flows ------------------------------------------------------------

@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
@@ -63,6 +64,23 @@ def test_naive_bayes(spark, docs, budget):
         assert sum(got[key]["probability"]) == pytest.approx(1)
 
 
+def test_naive_bayes_of_many_classes(spark):
+    """5,000 labels, in either way of joining: each document is told by its label's own words."""
+    rows = [(i, f"c{i % 5000}", f"own{i % 5000} common{i % 7} words") for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "id long, label string, text string")
+    for budget in (None, 200_000):
+        model = bayes.fit_bayes(docs, "id", "text", "label", budget=budget)
+        asked = docs.filter("id < 40").unionByName(spark.createDataFrame(
+            [(-1, None, "never seen"), (-2, None, None)], docs.schema))
+        out = {r["id"]: r for r in bayes.score_bayes(model, asked, "id", "text", budget=budget).collect()}
+        assert len(out) == 42 and all(out[i]["prediction"] == f"c{i}" for i in range(40))
+        assert all(len(r["probability"]) == 5000 and abs(sum(r["probability"]) - 1) < 1e-9
+                   for r in out.values())
+        assert out[-1]["prediction"] == out[-2]["prediction"] == "c0"
+    with pytest.raises(ValueError):
+        model.names()
+
+
 def test_vocabulary_limit(spark, docs):
     third = {r["term"] for r in terms.frequent_terms(docs, "id", "text", 3).collect()}
     everything = sorted(r["term"] for r in terms.frequent_terms(docs, "id", "text").collect())
@@ -192,9 +210,44 @@ def test_label_codes(spark):
 def test_centroids(spark):
     points = [(i, [float(c), 2.0 * c + 0.01 * (i % 3)], c) for i, c in enumerate([0, 1, 2] * 20)]
     df = spark.createDataFrame(points, "k long, e array<float>, label int")
-    model = vectors.fit_centroids(df, "e", "label")
-    near = vectors.nearest_centroid(model, F.col("e"))
-    assert df.filter(near["prediction"] != F.col("label")).count() == 0
+    near = vectors.predict_centroids(df, "e", vectors.fit_centroids(df, "e", "label"))
+    assert near.filter("prediction IS NULL OR prediction <> label").count() == 0
+
+
+def test_centroids_of_many_classes(spark):
+    """20,000 classes in parts of odd size against brute force; ties, nulls, no classes."""
+    rng = np.random.default_rng(0)
+    means = np.round(rng.normal(size=(20_000, 4)), 1)
+    table = spark.createDataFrame(list(enumerate(means.tolist())), "label long, mean array<double>")
+    points = np.round(rng.normal(size=(300, 4)), 1)
+    rows = [(i, [float(x) for x in p], "x") for i, p in enumerate(points)] + [(300, None, "x")]
+    df = spark.createDataFrame(rows, "k int, e array<double>, mean string")
+    for part in (7_001, 50_000):
+        out = {r["k"]: r for r in vectors.predict_centroids(df, "e", table, part).collect()}
+        assert out[300]["prediction"] is None and len(out) == 301
+        for i, p in enumerate(points):
+            distances = np.sqrt(((means - p) ** 2).sum(axis=1))
+            assert abs(out[i]["distance"] - distances.min()) < 1e-12
+            assert out[i]["prediction"] == int(distances.argmin())
+    none = vectors.predict_centroids(df, "e", table.limit(0))
+    assert none.filter("prediction IS NULL").count() == 301
+
+
+def test_binary_bag_needs_no_exchange(spark, folder):
+    docs = read_table(spark, folder, "documents", "doc_id", "text")
+    top = terms.top_terms(docs, "text", 100)
+    plan = terms.binary_bag(docs, "doc_id", "text", top)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Generate" not in plan
+    odd = spark.createDataFrame([(1, None), (2, ""), (2, "qqq"), (None, "x")], "doc_id long, text string")
+    assert [r["indices"] for r in terms.binary_bag(odd, "doc_id", "text", top).collect()] == [[]] * 4
+    assert terms.binary_bag(docs, "doc_id", "text", top.limit(0)).filter("size(indices) > 0").isEmpty()
+
+
+def test_vector_lookup_keeps_all_tags(spark):
+    tags = spark.createDataFrame([(1,), (2,), (None,)], "tag long")
+    known = spark.createDataFrame([(2, [1.0])], "id long, v array<double>")
+    out = {r["tag"]: (r["found"], r["v"]) for r in vectors.vector_lookup(tags, known, "tag", "id").collect()}
+    assert out == {1: (False, None), 2: (True, [1.0]), None: (False, None)}
 
 
 def test_tokenising_happens_once(spark, folder):
