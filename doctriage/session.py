@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -60,6 +61,8 @@ class Rounds:
     """Written tables of successive rounds, of which only the last is kept.
 
     A round's table may be computed from the one before, which is removed once it is written.
+    Spark drops the shuffle files of earlier rounds when the driver has collected their plans,
+    which is asked for here: a busy cluster would keep them all until the loop's end.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -71,6 +74,8 @@ class Rounds:
         if self.last:
             old = self.spark._jvm.org.apache.hadoop.fs.Path(self.last)
             old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+            gc.collect()
+            self.spark._jvm.System.gc()
         self.last = path
         return self.spark.read.schema(df.schema).parquet(path)
 
