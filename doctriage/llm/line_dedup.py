@@ -32,9 +32,11 @@ def document_lines(docs: DataFrame, id_column: str, text_column: str, site_colum
     unless they are repeats. The line's hash has 128 bits.
     """
     line = trimmed(F.col("line"))
-    return (docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"),
-                        F.col(site_column).alias("site"),
-                        F.posexplode(F.split(text_column, "\n")).alias("pos", "line"))
+    # The text's hash is worked out below the generator: beside it, once for every line.
+    keyed = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"),
+                        F.col(site_column).alias("site"), F.col(text_column).alias("text"))
+    return (keyed.select("id", "text_hash", "site",
+                         F.posexplode(F.split("text", "\n")).alias("pos", "line"))
             .filter(F.length(line) >= min_chars)
             .select("id", "text_hash", "site", "pos", F.xxhash64(line).alias("h1"),
                     F.xxhash64(F.lit(1), line).alias("h2")))
@@ -77,8 +79,11 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                        | (F.col("pos") != F.col("first.pos")))
                .groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
                .agg(F.collect_set("pos").alias("__removed")))
-    kept = F.filter(F.split(text_column, "\n"),
-                    lambda _, i: ~F.array_contains("__removed", i))
+    # The lambda's variable stands for the lines, which are split once; positions are taken
+    # out by a hash set, so that the work is linear in a document's lines.
+    stays = F.array_except(F.sequence(F.lit(0), F.size(F.split(text_column, "\n")) - 1), "__removed")
+    kept = F.transform(F.array(F.split(text_column, "\n")), lambda lines: F.array_join(
+        F.transform(stays, lambda i: F.get(lines, i)), "\n"))[0]
     n_lines = F.coalesce(F.size(F.split(text_column, "\n")).cast("bigint"), F.lit(0))
     out = (docs.join(removed, F.col(id_column).eqNullSafe(F.col("__id"))
                      & (F.xxhash64(text_column) == F.col("__hash")), "left")
@@ -87,8 +92,7 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                           .cast("bigint"),
                "n_removed": F.when(F.col("__removed").isNull(), 0)
                              .otherwise(F.size("__removed")).cast("bigint")}))
-    text = F.when(F.col("__removed").isNull(), F.col(text_column)).otherwise(
-        F.array_join(kept, "\n"))
+    text = F.when(F.col("__removed").isNull(), F.col(text_column)).otherwise(kept)
     return out.withColumn(text_column, text).drop("__id", "__hash", "__removed")
 
 
