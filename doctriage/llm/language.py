@@ -23,7 +23,6 @@ PER_LANGUAGE = 300          # labelled rows for each language, at most
 SAMPLE_ROWS = 20_000        # and for all languages together, at most
 CHUNK = 1 << 20             # characters hashed at a time
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def subword_counts(text: str) -> np.ndarray:
@@ -46,7 +45,7 @@ def subword_counts(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(map(str.isalpha, text))
 
 
 @dataclass(frozen=True)
