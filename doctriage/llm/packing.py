@@ -48,7 +48,6 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.line_end, = self.ids("\n")
         self.kept: dict[str, bytes] = {}
 
