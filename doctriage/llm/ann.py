@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from doctriage.session import written
 
 TREES = 8
+ROUNDING = 1e-12            # of a product of vectors, relative to their norms
 SAMPLE_ROWS = 20_000        # vectors the forest is fitted on, at most
 LEAF_ROWS = 512             # aimed at, over the whole table
 LEAF_SAMPLE = 16            # least sample rows of a leaf; bounds the number of leaves
@@ -155,13 +156,16 @@ def lifted(vectors: np.ndarray, top: float) -> np.ndarray:
     return np.hstack([vectors, rest[:, None]])
 
 
-def best_rows(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
-              ) -> tuple[np.ndarray, np.ndarray]:
+def best_rows(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int,
+              longest: float) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` best ids and scores, ties to smaller ids. Scores are summed the same way
-    wherever a pair is met."""
+    wherever a pair is met: a matrix product picks all rows that lie within its rounding of
+    the ``k``-th best; ``longest`` is the largest norm of the vectors."""
     rough = vectors @ query
-    some = (np.argpartition(-rough, k + 7)[:k + 8] if len(rough) > k + 8
-            else np.arange(len(rough)))
+    some = np.arange(len(rough))
+    if len(rough) > k:
+        margin = ROUNDING * longest * np.sqrt(query @ query)
+        some = np.flatnonzero(rough >= np.partition(rough, -k)[-k] - margin)
     exact = (vectors[some] * query).sum(axis=1)
     order = np.lexsort((ids[some], -exact))[:k]
     return ids[some][order], exact[order]
@@ -278,7 +282,8 @@ def candidates(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if len(rows) and len(asked):
             ids, vectors = rows["node"].to_numpy(), np.stack(rows["vec"].to_numpy())
             part = int(key[0] * 31 + key[1]) % parts
-            found = [(query, part, *best_rows(vec, ids, vectors, k))
+            longest = float(np.sqrt((vectors * vectors).sum(axis=1).max()))
+            found = [(query, part, *best_rows(vec, ids, vectors, k, longest))
                      for query, vec in zip(asked["node"], asked["vec"])]
         return pd.DataFrame(found, columns=["query", "part", "ids", "scores"])
 

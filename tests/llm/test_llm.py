@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on odd rows."""
 
 import random
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -366,9 +367,8 @@ def test_pipeline_sequences_follow_mixture(spark):
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
-    plain.encode_special_tokens = True
     texts = ["a  b", " x", "y ", "tab\t z", "", "one", "a \n b", "don't stop,  now\n\nnew line.", "é 世 界",
-             "<|endoftext|> and more", "word " * 900 + "end", "x\ny z\n w"]
+             "<|endoftext|> and more", "a <|endoftext|>b c<|endoftext|> d <|endoftext|>", "word " * 900 + "end", "x\ny z\n w"]
     got = packing.encoder(packing.tokenizer_path(packing.TOKENIZER)).encode(texts)
     for text, ids in zip(texts, got):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
@@ -560,3 +560,48 @@ def test_pipeline_whole(spark, folder):
     out = corpus_pipeline.run(spark, folder).toPandas()
     assert set(out.doc_id) <= {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert out.doc_id.nunique() > 0.7 * docs.count()
+
+
+@pytest.mark.parametrize("text, letters", [("\u00bd", False), ("\u00b2 \u2460 \u2167 7", False),
+                                           ("_-_", False), ("\u00bd\u00e9", True), ("\u4e16", True)])
+def test_letters(text, letters):
+    assert language.has_letter(text) is letters
+
+
+def test_best_rows_ties():
+    """Of 200 equal products the smallest ids come back, and near ties are told apart."""
+    rng = np.random.default_rng(0)
+    ids = rng.permutation(200)
+    query = rng.normal(size=64)
+    vectors = np.tile(rng.normal(size=64), (200, 1))
+    found, _ = ann.best_rows(query, ids, vectors, 20, float(np.linalg.norm(vectors[0])))
+    assert found.tolist() == list(range(20))
+    vectors = rng.normal(size=(500, 64))
+    ids = rng.permutation(500)
+    exact = (vectors * query).sum(axis=1)
+    found, scores = ann.best_rows(query, ids, vectors, 20, float(np.linalg.norm(vectors, axis=1).max()))
+    order = np.lexsort((ids, -exact))[:20]
+    assert found.tolist() == ids[order].tolist() and scores.tolist() == exact[order].tolist()
+
+
+def test_nearest_ties(spark):
+    """400 different vectors with the same product: the smallest ids are the nearest."""
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [1.0, i / 500, (i * 7 % 400) / 900]) for i in range(1, 400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = ann.nearest(table).filter("query_id = 0").orderBy("rank").collect()
+    assert [r["vec_id"] for r in out] == list(range(1, 21)) and {r["score"] for r in out} == {1.0}
+
+
+def test_line_dedup_of_many_lines(spark):
+    """Linear in a document's lines: 200,000 of them on each of twelve sites."""
+    lines = [f"this is line number {i} of all" for i in range(200_000)]
+    text = "\n".join(lines)
+    docs = spark.createDataFrame([(i, text if i % 2 else text + "\nown", f"s{i}") for i in range(12)],
+                                 "doc_id long, text string, source string")
+    start = time.monotonic()
+    out = {r["doc_id"]: r for r in line_dedup.line_dedup(docs).select(
+        "doc_id", "n_lines", "n_removed", F.length("text").alias("size"), "text").collect()}
+    assert out[0]["n_removed"] == 0 and out[0]["size"] == len(text) + 4
+    assert all(out[i]["n_removed"] == 200_000 and out[i]["text"] == ("" if i % 2 else "own")
+               for i in range(1, 12))
+    assert time.monotonic() - start < 120
