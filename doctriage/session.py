@@ -57,6 +57,12 @@ def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataF
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop what belongs to plans that are no longer referred to."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Rounds:
     """Written tables of successive rounds, of which only the last is kept.
 
@@ -74,8 +80,7 @@ class Rounds:
         if self.last:
             old = self.spark._jvm.org.apache.hadoop.fs.Path(self.last)
             old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
-            gc.collect()
-            self.spark._jvm.System.gc()
+            release(self.spark)
         self.last = path
         return self.spark.read.schema(df.schema).parquet(path)
 
