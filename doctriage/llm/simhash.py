@@ -2,13 +2,12 @@
 
 A fingerprint is cut into so few segments that, of two fingerprints that link, at least
 one segment differs by one bit at most. Each segment is indexed under its variants with
-one bit wiped out, so such a pair meets under an equal key; the distance is then verified,
-and for near copies the texts' similarity too.
+one bit wiped out, so such a pair meets under an equal key; the distance is then verified.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,14 +34,12 @@ class Signature:
     """Words to a shingle, segments of the fingerprint, bits of each, largest distance.
 
     Every pair within ``2 * segments - 1`` bits is found for certain, whatever the data.
-    With a ``similarity``, fingerprints are of distinct shingles, and pairs link only if the
-    Jaccard similarity of their sets of shingles is that large.
+    A fingerprint has at most 64 bits.
     """
     shingle: int
     segments: int
     segment_bits: int
     max_distance: int
-    similarity: float | None = None
 
     @property
     def bits(self) -> int:
@@ -50,10 +47,6 @@ class Signature:
 
 
 CONTRACT = Signature(shingle=3, segments=2, segment_bits=32, max_distance=2)
-# Two documents of equal length whose sets of shingles have a Jaccard similarity s differ
-# in acos(2s / (1 + s)) / pi of the bits: 83 of 552 at 0.8, give or take 8. Pairs within 47
-# bits are found for certain, pairs at 83 bits with 95 %.
-NEAR = Signature(shingle=5, segments=24, segment_bits=23, max_distance=108, similarity=0.8)
 
 
 def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -73,58 +66,35 @@ def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
                         zip(firsts[at:at + BLOCK], lasts[at:at + BLOCK])], dtype="<u8")
 
 
-def more_words(hashes: np.ndarray, words: int) -> Iterator[np.ndarray]:
-    """The hashes, then ``words - 1`` independent mixes of them."""
-    yield hashes
-    for i in range(1, words):
-        mixed = hashes + np.uint64((i * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        yield mixed ^ (mixed >> np.uint64(31))
-
-
-def distinct_hashes(text: str | None, shingle: int) -> np.ndarray:
-    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, shingle)]))
-
-
 def fingerprint_bits(blocks: Iterable[np.ndarray], bits: int) -> np.ndarray:
     """The fingerprint's bits, lowest first: 1 where over half of all hashes have a 1."""
-    words = -(-bits // 64)
-    ones, total = np.zeros((words, 64), np.int64), 0
+    ones, total = np.zeros(64, np.int64), 0
     column = np.arange(8, dtype=np.int64) * 256
     for hashes in blocks:
         total += len(hashes)
-        for i, word in enumerate(more_words(hashes, words)):
-            cells = word.view(np.uint8).reshape(-1, 8) + column
-            counts = np.bincount(cells.ravel(), minlength=2048).reshape(8, 256)
-            ones[i] += (counts @ _BYTE_BITS).ravel()
-    return (ones.ravel() * 2 > total)[:bits]
-
-
-def segment_values(text: str | None, signature: Signature) -> tuple[list[int], bytes]:
-    """The segments, and with a ``similarity`` a digest of the set of shingles."""
-    digest, blocks = b"", shingle_hashes(text, signature.shingle)
-    if signature.similarity is not None:
-        hashes = distinct_hashes(text, signature.shingle)
-        digest = xxhash.xxh3_128_digest(hashes.tobytes())
-        blocks = (hashes[at:at + BLOCK] for at in range(0, len(hashes), BLOCK))
-    bits = fingerprint_bits(blocks, signature.bits)
+        cells = hashes.view(np.uint8).reshape(-1, 8) + column
+        counts = np.bincount(cells.ravel(), minlength=2048).reshape(8, 256)
+        ones += (counts @ _BYTE_BITS).ravel()
+    return (ones * 2 > total)[:bits]
+
+
+def segment_values(text: str | None, signature: Signature) -> list[int]:
+    bits = fingerprint_bits(shingle_hashes(text, signature.shingle), signature.bits)
     powers = 1 << np.arange(signature.segment_bits, dtype=np.int64)
-    return (bits.reshape(signature.segments, -1) @ powers).tolist(), digest
+    return (bits.reshape(signature.segments, -1) @ powers).tolist()
 
 
 def fingerprints(docs: DataFrame, id_column: str, text_column: str,
                  signature: Signature) -> DataFrame:
-    """``id, segs, digest``: the segments of each document's fingerprint, lowest bits first."""
+    """``id, segs``: the segments of each document's fingerprint, lowest bits first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [segment_values(t.as_py(), signature) for t in batch.column(1)]
+            segs = [segment_values(t.as_py(), signature) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([v[0] for v in values], pa.list_(pa.int64())),
-                 pa.array([v[1] for v in values], pa.binary())], names=["id", "segs", "digest"])
+                [batch.column(0), pa.array(segs, pa.list_(pa.int64()))], names=["id", "segs"])
 
     return docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("t")
-                       ).mapInArrow(run, "id bigint, segs array<bigint>, digest binary")
+                       ).mapInArrow(run, "id bigint, segs array<bigint>")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -157,18 +127,9 @@ def distances(segs: np.ndarray) -> np.ndarray:
     return far
 
 
-def across(nodes: np.ndarray, segs: np.ndarray, roots: np.ndarray, max_distance: int) -> Links:
-    """All links within ``max_distance`` between nodes of different roots."""
-    order = np.argsort(nodes)
-    nodes, segs, roots = nodes[order], segs[order], roots[order]
-    far = distances(segs)
-    a, b = np.nonzero(np.triu((far <= max_distance) & (roots[:, None] != roots[None, :]), 1))
-    return nodes[a], nodes[b], far[a, b].astype(np.int64)
-
-
-def forest(nodes: np.ndarray, segs: np.ndarray, roots: np.ndarray, max_distance: int) -> Links:
+def forest(nodes: np.ndarray, segs: np.ndarray, max_distance: int) -> Links:
     """All pairs of nodes compared; a spanning forest of least distances comes back, as its
-    links ``a, b, d`` within ``max_distance``; roots are not looked at."""
+    links ``a, b, d`` within ``max_distance``."""
     order = np.argsort(nodes)
     nodes, segs = nodes[order], segs[order]
     far = distances(segs)
@@ -186,7 +147,7 @@ def forest(nodes: np.ndarray, segs: np.ndarray, roots: np.ndarray, max_distance:
     return np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b]), d
 
 
-def light_links(members: DataFrame, max_distance: int, find=forest) -> DataFrame:
+def light_links(members: DataFrame, max_distance: int) -> DataFrame:
     """Links within keys of at most ``LIGHT`` members, each set of members looked at once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,16 +156,14 @@ def light_links(members: DataFrame, max_distance: int, find=forest) -> DataFrame
             flat = column.flatten()
             nodes = flat.field("node").to_numpy()
             segs = flat.field("segs").flatten().to_numpy().reshape(len(nodes), -1)
-            roots = flat.field("root").to_numpy()
-            found = [find(nodes[a:b], segs[a:b], roots[a:b], max_distance)
-                     for a, b in zip(ends, ends[1:])]
+            found = [forest(nodes[a:b], segs[a:b], max_distance) for a, b in zip(ends, ends[1:])]
             columns = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in columns],
                 names=["a", "b", "d"])
 
     return (members.groupBy("key")
-            .agg(F.sort_array(F.collect_set(F.struct("node", "segs", "root"))).alias("members"))
+            .agg(F.sort_array(F.collect_set(F.struct("node", "segs"))).alias("members"))
             .select("members").distinct().mapInArrow(run, "a bigint, b bigint, d bigint"))
 
 
@@ -227,23 +186,22 @@ def two_bit_links(nodes: DataFrame, signature: Signature) -> DataFrame:
             .withColumn("d", F.lit(signature.max_distance).cast("bigint")))
 
 
-def block_links(members: DataFrame, max_distance: int, find=forest) -> DataFrame:
+def block_links(members: DataFrame, max_distance: int) -> DataFrame:
     """Links within the heavy keys: blocks of chunk against chunk, in numpy.
 
-    ``members`` has ``key, n, node, segs, root``. Every pair of a key is compared, in tasks
-    of two chunks at most; with ``forest``, a block returns no pairs but a spanning forest.
+    ``members`` has ``key, n, node, segs``. Every pair of a key is compared, in tasks of two
+    chunks at most; a block returns no pairs but a spanning forest.
     """
     def trees(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip("abd", find(
-            pdf["node"].to_numpy(), np.stack(pdf["segs"].to_numpy()), pdf["root"].to_numpy(),
-            max_distance))))
+        return pd.DataFrame(dict(zip("abd", forest(
+            pdf["node"].to_numpy(), np.stack(pdf["segs"].to_numpy()), max_distance))))
 
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     placed = (members.withColumn("chunks", chunks)
               .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
               .select("key", F.least("mine", "other").alias("lo"),
-                      F.greatest("mine", "other").alias("hi"), "node", "segs", "root"))
+                      F.greatest("mine", "other").alias("hi"), "node", "segs"))
     return placed.groupBy("key", "lo", "hi").applyInPandas(trees, "a bigint, b bigint, d bigint")
 
 
@@ -258,11 +216,9 @@ def meetings(nodes: DataFrame, signature: Signature) -> tuple[DataFrame, DataFra
     return met, written(keyed.join(small_side(crowded, CROWDED_ROWS), "key"), "variant-members")
 
 
-def links(nodes: DataFrame, signature: Signature,
-          found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def links(nodes: DataFrame, signature: Signature) -> DataFrame:
     """Edges ``a, b, d`` that join all nodes ``(node, segs)`` within the largest distance."""
-    met, members = found or meetings(nodes, signature)
-    nodes = nodes.withColumn("root", F.col("node"))
+    met, members = meetings(nodes, signature)
     light = light_links(members.filter(F.col("n") <= LIGHT).join(nodes, "node"),
                         signature.max_distance)
     pairs = met.filter(F.col("n") == 2).select("a", "b").distinct()
@@ -278,57 +234,6 @@ def links(nodes: DataFrame, signature: Signature,
     return near.union(block_links(heavy.join(nodes, "node"), signature.max_distance))
 
 
-def links_across(nodes: DataFrame, members: DataFrame, roots: DataFrame,
-                 signature: Signature) -> DataFrame:
-    """All edges ``a, b, d`` of crowded keys between nodes that have different roots."""
-    nodes = (nodes.join(roots, "node", "left")
-             .withColumn("root", F.coalesce("root", "node")))
-    rooted = written(members.join(nodes.select("node", "root"), "node"), "rooted-members")
-    split = (rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-             .filter(F.col("least") != F.col("most")).select("key"))
-    left = written(rooted.join(split, "key").join(nodes.select("node", "segs"), "node"),
-                   "split-members")
-    return (light_links(left.filter(F.col("n") <= LIGHT), signature.max_distance, across)
-            .union(block_links(left.filter(F.col("n") > LIGHT), signature.max_distance, across)))
-
-
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``node, set``: the distinct shingles' hashes, 32 bits of each, of ``node, text``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(distinct_hashes(t.as_py(), shingle).astype("<u4")).tobytes()
-                    for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())],
-                                             names=["node", "set"])
-
-    return docs.select("node", "text").mapInArrow(run, "node bigint, set binary")
-
-
-def confirmed(edges: DataFrame, docs: DataFrame, signature: Signature) -> DataFrame:
-    """``a, b`` of the edges whose texts are similar.
-
-    ``docs`` has ``node, text``; of rows that share an id the least text is compared.
-    """
-    doubtful = written(edges.select("a", "b").distinct(), "near-edges")
-    asked = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = (docs.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
-    sets = written(shingle_sets(texts, signature.shingle), "shingle-sets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= signature.similarity * (len(x) + len(y) - both))
-            yield (pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"])
-                   .filter(pa.array(keep, pa.bool_())))
-
-    return (doubtful.join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a")
-               .join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}), "b")
-               .select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint"))
-
-
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 signature: Signature = CONTRACT) -> DataFrame:
     """One row per document: ``id, segs, component_id``.
@@ -336,29 +241,16 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     Words are runs of characters other than ASCII white space, with A-Z in lower case. A
     text of fewer words than a shingle is one shingle; one without words, null or empty,
     has the fingerprint zero, which links like any other. Documents link when their
-    fingerprints differ in at most ``max_distance`` bits and, with a ``similarity``, the
-    texts are that similar. ``component_id`` is the smallest
+    fingerprints differ in at most ``max_distance`` bits. ``component_id`` is the smallest
     id that links reach. A null id takes part through its fingerprint if that has another
     id; with none, its component is null. Repeated rows each get a row.
     """
     prints = written(fingerprints(docs, id_column, text_column, signature), "fingerprints")
-    nodes = written(prints.groupBy("segs", "digest").agg(F.min("id").alias("node"))
+    nodes = written(prints.groupBy("segs").agg(F.min("id").alias("node"))
                     .filter(F.col("node").isNotNull()), "distinct-fingerprints")
-    found = meetings(nodes, signature)
-    edges = links(nodes, signature, found)
-    if signature.similarity is None:
-        roots = components(edges)
-    else:
-        # Each key's forest joins most groups at little cost; whatever pairs of a key it
-        # leaves apart are then verified one by one.
-        texts = docs.select(F.col(id_column).cast("bigint").alias("node"),
-                            F.col(text_column).alias("text"))
-        edges = written(confirmed(edges, texts, signature), "confirmed-edges")
-        apart = links_across(nodes, found[1], written(components(edges), "forest-roots"), signature)
-        roots = components(edges.union(confirmed(apart, texts, signature)))
-    named = (nodes.join(roots, "node", "left")
-             .select("segs", "digest", F.coalesce("root", "node").alias("component_id")))
-    return (prints.join(named, ["segs", "digest"], "left").select("id", "segs", "component_id"))
+    named = (nodes.join(components(links(nodes, signature)), "node", "left")
+             .select("segs", F.coalesce("root", "node").alias("component_id")))
+    return prints.join(named, "segs", "left").select("id", "segs", "component_id")
 
 
 def simhash_groups(docs: DataFrame, id_column: str = "doc_id",
@@ -371,14 +263,19 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id",
 
 
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-               signature: Signature = NEAR) -> DataFrame:
+               signature: Signature = CONTRACT) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies, the smallest id.
 
-    Five-word shingles; documents link at a Jaccard similarity of 0.8 or more, which the
-    sets of shingles decide for every pair that the fingerprints bring together. Rows with a null id stay. Rows that repeat an id are one document, of which one stays.
+    Groups are those of ``near_groups``. Rows with a null id stay. Rows that share an id and
+    its text, null included, are one document, of which the least row in the order of the
+    other columns stays; different texts under one id all stay if the id does.
     """
     stays = (near_groups(docs, id_column, text_column, signature)
              .filter(F.col("id") == F.col("component_id")).select("id").distinct())
+    others = [c for c in docs.columns if c not in (id_column, text_column)]
+    row = F.struct(*others) if others else F.lit(0)
     with_id = (docs.join(stays, docs[id_column] == stays["id"], "left_semi")
-               .dropDuplicates([id_column]))
-    return with_id.unionByName(docs.filter(F.col(id_column).isNull()))
+               .groupBy(id_column, text_column).agg(F.min(row).alias("__row"))
+               .select(id_column, text_column, *(F.col("__row")[c].alias(c) for c in others)))
+    return (with_id.select(*docs.columns)
+            .unionByName(docs.filter(F.col(id_column).isNull())))
