@@ -4,6 +4,7 @@ import random
 import time
 import zlib
 from collections import Counter
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -206,84 +207,37 @@ def test_near_dedup(spark, odd, none):
                   " ".join(word() for _ in range(200))]
     docs = spark.createDataFrame([(i, t, "en", "a", 1, 0) for i, t in enumerate(texts)], DOCUMENTS)
     kept = {r["doc_id"] for r in simhash.near_dedup(docs).collect()}
-    assert {4 * i for i in range(40)} | {4 * i + 3 for i in range(40)} <= kept
+    prints = [brute_print(t) for t in texts]
+    roots = union_find(len(texts), [(i, j) for i in range(len(texts)) for j in range(i)
+                                    if (prints[i] ^ prints[j]).bit_count() <= 2])
+    assert kept == {i for i, root in enumerate(roots) if root == i}
     assert not any(4 * i + 1 in kept for i in range(40))
-    assert sum(4 * i + 2 in kept for i in range(40)) <= 1
+    assert {4 * i for i in range(40)} | {4 * i + 3 for i in range(40)} <= kept
     ids = Counter(r["doc_id"] for r in simhash.near_dedup(odd).collect())
     assert ids == {1: 1, 2: 1, 4: 1, 7: 1, None: 2}
     assert simhash.near_dedup(none).count() == 0
 
 
-def test_near_groups_against_jaccard(spark):
-    """Copies with one to sixty of 400 words changed: links of true similarity only, and
-    nearly all of them."""
-    rng = random.Random(9)
-    word = lambda: "".join(rng.choices("abcdefgh", k=6))
-    texts = []
-    for _ in range(30):
-        words = [word() for _ in range(400)]
-        for changed in (0, 1, 4, 7, 9, 12, 20, 60):
-            copy = list(words)
-            for at in rng.sample(range(400), changed):
-                copy[at] = word()
-            texts.append(" ".join(copy))
-    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
-    pairs = {(a, b) for a in range(len(texts)) for b in range(a + 1, min(len(texts), a + 8))
-             if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    out = {r["id"]: r["component_id"] for r in
-           simhash.near_groups(docs, signature=simhash.NEAR).collect()}
-    want = union_find(len(texts), pairs)
-    together = lambda of: {(a, b) for a, b in combinations(range(len(texts)), 2)
-                           if of[a] == of[b]}
-    found, true = together(out), together(want)
-    assert found <= true and len(found) >= 0.9 * len(true)
-
-
-
-def test_near_copies_repeated_line(spark):
-    """A line that repeats decides nothing: the similarity is of sets."""
-    rng = random.Random(2)
-    word = lambda: "".join(rng.choices("abcdefgh", k=6))
-    line = [word() for _ in range(28)]
-    texts = [" ".join([word() for _ in range(200)] + line * 40) for _ in range(20)]
-    copies = [t.replace(" ".join(line), "", 30) for t in texts]     # same sets, but for a seam
-    docs = spark.createDataFrame(list(enumerate(texts + copies + [" ".join(line * 40)] * 2)),
-                                 "doc_id long, text string")
-    out = {r["id"]: r["component_id"] for r in
-           simhash.near_groups(docs, signature=simhash.NEAR).collect()}
-    assert out == {i: i % 20 if i < 40 else 40 for i in range(42)}
-
-
-@pytest.mark.parametrize("light", [2, 64])
-def test_near_all_meeting_pairs(spark, monkeypatch, light):
-    """Families just under the threshold: every meeting pair is verified, not a forest's only."""
-    monkeypatch.setattr(simhash, "LIGHT", light)
-    rng = random.Random(3)
-    texts = []
-    for _ in range(2):
-        base = [f"{rng.random():.9f}" for _ in range(400)]
-        for _ in range(60):
-            copy = list(base)
-            for at in rng.sample(range(400), 6):
-                copy[at] = f"{rng.random():.9f}"
-            texts.append(" ".join(copy))
-    signature = simhash.NEAR
-    sets = [set(simhash.distinct_hashes(t, 5).tolist()) for t in texts]
-    segs = [simhash.segment_values(t, signature)[0] for t in texts]
-    near = lambda x: min(v.bit_count() for v in x) <= 1
-    pairs = set()
-    for a, b in combinations(range(len(texts)), 2):
-        gaps = [x ^ y for x, y in zip(segs[a], segs[b])]
-        both = len(sets[a] & sets[b])
-        if near(gaps) and sum(g.bit_count() for g in gaps) <= signature.max_distance \
-                and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
-            pairs.add((a, b))
-    want = union_find(len(texts), pairs)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {r["id"]: r["component_id"] for r in
-           simhash.near_groups(docs, signature=signature).collect()}
-    assert [out[i] for i in range(len(texts))] == [want[i] for i in range(len(texts))]
+def test_near_dedup_of_shared_ids(spark):
+    """Different texts of one id stay; a repeated document stays once, by its least row."""
+    texts = ["alpha beta gamma delta " * 9, "one two three four five " * 9]
+    docs = spark.createDataFrame([(5, texts[0], "en", "b", 1, 0), (5, texts[1], "en", "a", 1, 0),
+                                  (5, texts[0], "en", "a", 1, 0), (5, texts[0], "en", None, 1, 0),
+                                  (9, texts[1].upper(), "en", "a", 1, 0)], DOCUMENTS)
+    out = sorted((r["doc_id"], r["text"], r["source"] or "") for r in
+                 simhash.near_dedup(docs).collect())
+    assert out == [(5, texts[0], ""), (5, texts[1], "a")]
+
+
+def test_near_dedup_is_by_groups(spark, folder):
+    """On the given table, the smallest id of each brute-force group stays, and only it."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    prints = [brute_print(r["text"]) for r in rows]
+    roots = union_find(len(prints), [(i, j) for i in range(len(prints)) for j in range(i)
+                                     if (prints[i] ^ prints[j]).bit_count() <= 2])
+    kept = sorted(r["doc_id"] for r in simhash.near_dedup(docs).collect())
+    assert kept == [rows[i]["doc_id"] for i, root in enumerate(roots) if root == i]
 
 
 def test_language(spark, folder, odd, none):
@@ -311,16 +265,45 @@ def test_subword_counts_of_chunks(monkeypatch):
     assert (language.subword_counts(text) == whole).all()
 
 
-@pytest.mark.parametrize("blocks", [(5, 3, 2), (1,) * 9, (50, 1, 1, 1), (7, 0, 13), (333, 17, 290)])
-def test_pfair(blocks):
-    slots = mixing.earliest_deadline_first(blocks)
-    total = sum(blocks)
-    assert sorted(s for x in slots for s in x) == list(range(total))
-    for n, mine in zip(blocks, slots):
-        done = 0
-        for t in range(total + 1):
-            assert abs(done - n * t / total) < 1
-            done += t in set(mine)
+def fluid_shares(sizes, weights):
+    """What each source was given before each slot, by exact fractions."""
+    left, shares = list(map(Fraction, sizes)), [[Fraction(0)] * len(sizes)]
+    for _ in range(sum(sizes)):
+        time, given = Fraction(1), [Fraction(0)] * len(sizes)
+        while time and any(left):
+            rate = sum(w for w, x in zip(weights, left) if x)
+            step = min([time, *(x * rate / w for w, x in zip(weights, left) if x)])
+            for s, w in enumerate(weights):
+                part = step * w / rate if left[s] else Fraction(0)
+                given[s], left[s] = given[s] + part, left[s] - part
+            time -= step
+        shares.append([a + b for a, b in zip(shares[-1], given)])
+    return shares
+
+
+@pytest.mark.parametrize("slots", [1, 7, 64, 1024])
+@pytest.mark.parametrize("sizes, weights", [
+    ((5, 3, 2), (1, 1, 1)), ((1,) * 9, (3, 1, 4, 1, 5, 9, 2, 6, 5)), ((50, 1, 1, 1), (7, 1, 1, 2)),
+    ((7, 1, 13), (1, 100, 3)), ((333, 17, 290), (0.31, 0.0123, 0.47)),
+    ((90, 140, 60, 200, 110), (0.37, 0.21, 0.011, 0.309, 0.1)),
+    ((40,) * 12, tuple(x ** 0.5 for x in range(1, 13)))])
+def test_pfair(sizes, weights, slots):
+    """Any prefix, whatever the weights and however the schedule is cut into rounds."""
+    fluid = mixing.Fluid(np.array(sizes), np.array(weights, float))
+    bounds = mixing.boundaries(fluid, slots)
+    assert bounds[-1].tolist() == list(sizes)
+    source = np.repeat(np.arange(len(sizes)), sizes)
+    block = np.concatenate([np.arange(n) for n in sizes])
+    found = mixing.slot_finder(fluid, bounds)(source, block)
+    assert sorted(found.slot) == list(range(sum(sizes)))
+    assert ((found.release <= found.slot) & (found.slot < found.deadline)).all()
+    shares = fluid_shares(sizes, [Fraction(str(w)) for w in weights])
+    done = [0] * len(sizes)
+    for t, s in enumerate(source[np.argsort(found.slot)]):
+        assert all(abs(a - b) < 1 for a, b in zip(done, shares[t]))
+        done[s] += 1
+    assert found.slot.tolist() == mixing.earliest_deadline_first(
+        0, found.release.tolist(), found.deadline.tolist(), source.tolist())
 
 
 def test_mix(spark, odd, none):
@@ -339,7 +322,7 @@ def test_mix(spark, odd, none):
             assert abs(share.get(source, 0) - w * t) < 1
     assert mixing.mix(odd).count() == 10 and mixing.mix(none).count() == 0
     ordered = mixing.in_mixture_order(docs)
-    assert ordered.columns == docs.columns and ordered.count() == 3000
+    assert ordered.columns == [*docs.columns, "slot", "place"] and ordered.count() == 3000
 
 
 @pytest.mark.parametrize("sources", [20, 5000])
@@ -347,11 +330,13 @@ def test_mix_keeps_weights(sources):
     """The error stays below one block after many rounds, also with many sources."""
     weights = np.r_[1 / 3, np.full(sources - 1, 2 / 3 / (sources - 1))]
     slots = max(mixing.ROUND_SLOTS, mixing.SOURCE_SLOTS * sources)
-    bounds = mixing.boundaries((weights * slots * 30.5).astype(int) + 1, weights, slots)
+    fluid = mixing.Fluid((weights * slots * 30.5).astype(int) + 1, weights)
+    bounds = mixing.boundaries(fluid, slots)
     full = bounds[:30]
     assert np.abs(full - full.sum(axis=1)[:, None] * weights).max() < 1
     assert (np.diff(bounds, axis=0) >= 0).all() and full.sum(axis=1).tolist() == [
         r * slots for r in range(30)]
+    assert bounds[-1].tolist() == fluid.sizes.tolist()
 
 
 def test_pipeline_sequences_follow_mixture(spark):
@@ -359,8 +344,9 @@ def test_pipeline_sequences_follow_mixture(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(
         F.lit("some text "), "id").alias("text"), F.lit("en").alias("lang"), F.when(
         F.col("id") < 5900, "big").otherwise("low").alias("source"), F.lit(14).alias("n_chars"))
-    mixed = mixing.mix(docs).toPandas().set_index("doc_id").slot
-    out = corpus_pipeline.pack_sequences(spark, docs, "").toPandas()
+    mixture = corpus_pipeline.mix_sources(spark, docs, "")
+    mixed = mixture.toPandas().set_index("doc_id").slot
+    out = corpus_pipeline.pack_sequences(spark, mixture, "").toPandas()
     assert (out.sequence_id // 2 ** 32 == out.doc_id.map(mixed) // 64).all()
 
 
@@ -549,7 +535,8 @@ def test_pipeline(spark, odd, none, tmp_path):
             run(spark, docs, str(tmp_path)).write.parquet(path := str(tmp_path / name / stage))
             after = spark.read.parquet(path)
             if stage != "packing":
-                assert after.columns == docs.columns, stage
+                added = ["slot", "place"] if stage == "mix_sources" else []
+                assert after.columns == docs.columns + added, stage
             docs = after
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "line_dedup", "simhash_near_dedup", "mix_sources", "packing"]
