@@ -28,15 +28,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture of sources."""
+    """All documents, each with its ``slot`` and ``place`` in the mixture of sources."""
     return mixing.in_mixture_order(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences, which follow the mixture of sources: groups are ranges
-    of its slots. Its order is computed again, as rows are read in any order."""
+    """The pieces of packed sequences, which follow the mixture: groups are ranges of slots."""
     slots = packing.GROUP_DOCUMENTS // mixing.BLOCK_DOCUMENTS
-    return packing.pack(mixing.mix(docs), group=F.floor(F.col("slot") / slots).cast("bigint"))
+    return packing.pack(docs, group=F.floor(F.col("slot") / slots).cast("bigint"))
 
 
 STAGES = [("language_id", shipped(identify_languages)), ("line_dedup", shipped(drop_boilerplate)),
