@@ -1,30 +1,34 @@
 """Main text of web pages, by site style trees.
 
-The pages of a host are merged into one tree of element paths. A node's importance comes
-from two entropies over the host's pages: of presentation (how differently its children
-are laid out) and of content (how few pages share its texts). Branches that look and read
-alike on all pages are of low importance and are removed from each page, together with
-elements whose tag, role or class says what they are (menus, adverts, forms and so on).
+The pages of a host are merged into one tree of element paths. A branch is told by how much of
+it the host's pages share: of its content, the words, link targets and images (each by the
+logarithm of the pages that have it, so that what one page has alone counts nothing and what
+all have counts one), and of its presentation, by the entropy of its looks. A branch that is
+shared far more than the rest of the host's text is of low importance, and is removed from
+each page. Elements whose tag, role or class says what they are (menus, adverts, forms and
+so on) go as well, which is all there is to go by on a host of a single page.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from doctriage.llm.common import small_side
+from doctriage.llm.common import BROADCAST_ROWS
 from doctriage.llm.url_rules import url_host
 from doctriage.session import written
 
-LEAST_IMPORTANCE = 0.1
-LEAST_PAGES = 8             # pages of a host below which entropy says too little
-DAMPING = 0.9               # weight of a node's content against its presentation
+SHARED_TIMES = 1.5          # a branch of low importance is shared so much more than the rest
+SHARED_ERRORS = 3           # and by so many standard errors of its shared features
+PRESENTATION = 0.1          # weight of a branch's looks against its content
 MAX_DEPTH = 64              # deeper elements count as part of the one at this depth
 
 # --- fixed values: element and class names of HTML pages ---------------------------------
@@ -48,6 +52,7 @@ modal overlay share sharing social related recommended recommendations widget to
 pager comment comments commentlist disqus respond reply replies login skip copyright""".split())
 HEADER_WORDS = frozenset(["header"])
 MAIN_TAGS = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -133,6 +138,13 @@ def find_close(html: str, key: str, at: int) -> int:
     return m.start() if m else -1
 
 
+def unseen(name: str, attrs: dict[str, str]) -> bool:
+    """Whether a browser shows nothing of the element."""
+    return bool(name == "head" or name in RAW or "hidden" in attrs
+                or attrs.get("aria-hidden", "").lower() == "true"
+                or _HIDDEN.search(attrs.get("style", "")))
+
+
 def told_apart(name: str, attrs: dict[str, str], in_main: bool) -> tuple[str, bool]:
     """An element's label in the tree, and whether its tag, role or class rules it out."""
     classes = f"{attrs.get('class', '')} {attrs.get('id', '')}"
@@ -140,22 +152,27 @@ def told_apart(name: str, attrs: dict[str, str], in_main: bool) -> tuple[str, bo
     header = name == "header" or words & HEADER_WORDS
     out = bool(name in DROPPED_TAGS or name in RAW
                or attrs.get("role", "").lower() in DROPPED_ROLES
-               or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
-               or _HIDDEN.search(attrs.get("style", ""))
+               or unseen(name, attrs)
                or name not in ("html", "body") and words & DROPPED_WORDS
                or header and not in_main and name not in ("html", "body"))
     label = ".".join([name, *sorted(attrs.get("class", "").lower().split())])
     return label, out
 
 
-def page_blocks(html: str | None) -> tuple[list[tuple[str, str, bool]], Counter]:
-    """Blocks ``(path, text, in_main)`` in page order, and the child labels of each path.
+class Block(NamedTuple):
+    path: str
+    text: str
+    in_main: bool       # inside an article or main element
+    out: bool           # inside an element whose tag, role or class rules it out
 
-    Elements that are ruled out, with all in them, give nothing.
-    """
-    blocks: list[tuple[str, str, bool]] = []
-    layout: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool]] = []     # name, path, ruled out, in main
+
+def page_blocks(html: str | None) -> tuple[list[Block], dict[str, list[str]]]:
+    """The blocks of what is seen, in page order; and for each path its features other than
+    words: children as ``<label``, link targets and image sources."""
+    blocks: list[Block] = []
+    parts: dict[str, list[str]] = {}
+    # name, path, ruled out, in main, unseen
+    stack: list[tuple[str, str, bool, bool, bool]] = []
     text: list[str] = []
 
     def flush() -> None:
@@ -164,8 +181,8 @@ def page_blocks(html: str | None) -> tuple[list[tuple[str, str, bool]], Counter]
             text.clear()
             if words:
                 place = next((s for s in reversed(stack) if s[0] not in INLINE), None)
-                blocks.append((place[1] if place else "", " ".join(words),
-                               bool(place and place[3])))
+                blocks.append(Block(place[1] if place else "", " ".join(words),
+                                    bool(place and place[3]), bool(place and place[2])))
 
     def close(index: int) -> None:
         if any(s[0] not in INLINE for s in stack[index:]):
@@ -174,7 +191,7 @@ def page_blocks(html: str | None) -> tuple[list[tuple[str, str, bool]], Counter]
 
     for kind, name, rest in events(html or ""):
         if kind == "text":
-            if not (stack and stack[-1][2]):
+            if not (stack and stack[-1][4]):
                 text.append(rest)
         elif kind == "close":
             for i in range(len(stack) - 1, -1, -1):
@@ -194,124 +211,169 @@ def page_blocks(html: str | None) -> tuple[list[tuple[str, str, bool]], Counter]
                         break
                     if here not in INLINE:
                         break
-            if name not in INLINE:
+            attrs = attributes(rest)
+            parent = stack[-1] if stack else ("", "", False, False, False)
+            label, out = told_apart(name, attrs, parent[3])
+            inline = name in INLINE
+            if not inline:
                 flush()
+            if target := attrs.get("href" if name == "a" else "src" if name == "img" else ""):
+                parts.setdefault(parent[1], []).append(target)
             if name in VOID:
                 continue
-            parent = stack[-1] if stack else ("", "", False, False)
-            label, out = told_apart(name, attributes(rest), parent[3])
-            out = out or parent[2]
-            inline = name in INLINE
             deep = inline or parent[1].count("/") >= MAX_DEPTH
             path = parent[1] if deep else f"{parent[1]}/{label}"
-            if not out and not inline:
-                layout.setdefault(parent[1], []).append(label)
+            # Inside a block, what is ruled out can only go here: blocks go as a whole.
+            hidden = parent[4] or unseen(name, attrs) or inline and out and not parent[2]
+            if not inline and not hidden:
+                parts.setdefault(parent[1], []).append(f"<{label}")
             if name in RAW:
                 continue
-            stack.append((name, path, out, parent[3] or name in MAIN_TAGS))
-    if not (stack and stack[-1][2]):
+            stack.append((name, path, out or parent[2], parent[3] or name in MAIN_TAGS, hidden))
+    if not (stack and stack[-1][4]):
         flush()
-    shapes = Counter({(path, zlib.crc32("|".join(dict.fromkeys(labels)).encode())): 1
-                      for path, labels in layout.items()})
-    return blocks, shapes
+    return blocks, parts
+
+
+def code_of(text: str) -> int:
+    code = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return code - (code >> 63 << 64)
+
+
+@lru_cache(maxsize=20_000)
+def branches_of(path: str) -> tuple[int, ...]:
+    """The codes of the branches that hold the path, its own first, without the root.
+
+    A heading belongs to the section that it heads: it is no branch of its own.
+    """
+    steps = path.split("/")
+    while steps[-1].split(".")[0] in HEADINGS:
+        steps.pop()
+    return tuple(code_of("/".join(steps[:i])) for i in range(len(steps), 1, -1))
+
+
+NODES = "host bigint, node bigint, look boolean, feature int, n bigint, words bigint, around array<bigint>"
 
 
 def style_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For ``mapInArrow`` on ``host, html``: pages by host, path, kind and feature."""
+    """For ``mapInArrow`` on ``host, html``: how many pages have each feature of each path.
+
+    A look of a path on a page is its children, without repeats, and the binary digits of the
+    number of its words; ``words`` and ``around`` go with looks.
+    """
     for batch in batches:
-        counts: Counter = Counter()
+        content: Counter = Counter()
+        looks: Counter = Counter()
+        sizes: Counter = Counter()
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            blocks, shapes = page_blocks(html)
-            for path, text in {(p, t) for p, t, _ in blocks}:
-                counts[host, path, 0, hash_of(text)] += 1
-            for path, shape in shapes:
-                counts[host, path, 1, shape] += 1
-        keys = list(zip(*counts)) if counts else ((), (), (), ())
+            blocks, parts = page_blocks(html)
+            words: dict[str, list[str]] = {}
+            for block in blocks:
+                words.setdefault(block.path, []).extend(block.text.split(" "))
+            for path in filter(branches_of, {*words, *parts}):
+                mine, more = words.get(path, []), parts.get(path, [])
+                content.update((host, path, f) for f in {*mine, *more} if f[0] != "<" or len(f) < 2)
+                children = "".join(dict.fromkeys(x for x in more if x[0] == "<"))
+                look = host, path, f"{children} {len(mine).bit_length()}"
+                looks[look] += 1
+                sizes[look] += len(mine)
+        keys = [*content, *looks]
+        nodes = [branches_of(path) for _, path, _ in looks]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()),
-             pa.array(keys[2], pa.int32()), pa.array(keys[3], pa.int64()),
-             pa.array(list(counts.values()), pa.int64())],
-            names=["host", "path", "kind", "feature", "n"])
-
-
-def hash_of(text: str) -> int:
-    data = text.encode("utf-8", "surrogatepass")
-    return zlib.crc32(data) << 31 ^ zlib.adler32(data)
+            [pa.array([k[0] for k in keys], pa.int64()),
+             pa.array([branches_of(k[1])[0] for k in keys], pa.int64()),
+             pa.array([False] * len(content) + [True] * len(looks), pa.bool_()),
+             pa.array([code_of(k[2]) >> 32 for k in keys], pa.int32()),
+             pa.array([*content.values(), *looks.values()], pa.int64()),
+             pa.array([0] * len(content) + [sizes[k] for k in looks], pa.int64()),
+             pa.array([None] * len(content) + nodes, pa.list_(pa.int64()))],
+            names=["host", "node", "look", "feature", "n", "words", "around"])
 
 
 def unimportant(pages: DataFrame) -> DataFrame:
-    """``host, path`` of the branches of low importance. ``pages`` has ``host, html``."""
-    features = (pages.mapInArrow(style_counts, "host string, path string, kind int, "
-                                               "feature bigint, n bigint")
-                .groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n")))
-    nodes = written(features.groupBy("host", "path", "kind").agg(
-        F.sum("n").alias("m"), F.count(F.lit(1)).alias("d"), F.max("n").alias("most"),
-        F.sum(F.log("n")).alias("logs"), F.sum(F.col("n") * F.log("n")).alias("n_logs")),
-        "style-nodes")
-    host_pages = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    sized = nodes.join(host_pages, "host").filter(F.col("pages") >= LEAST_PAGES)
-    content = sized.filter("kind = 0").select(
-        "host", "path", "m", (1 - F.col("logs") / (F.col("d") * F.log("pages"))).alias("content"))
-    parts = F.split("path", "/")
-    around = F.transform(F.sequence(F.lit(2), F.size(parts)),
-                         lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    branches = (content.filter("path != ''").select("host", "m", "content",
-                                                    F.explode(around).alias("path"))
-                .groupBy("host", "path").agg(
-        (F.sum(F.col("content") * F.col("m")) / F.sum("m")).alias("content"),
-        F.sum("m").alias("m")))
-    layout = sized.filter("kind = 1").select(
-        "host", "path", F.col("d").alias("styles"), F.when(F.col("m") > 1, (
-            F.log("m") - F.col("n_logs") / F.col("m")) / F.log("m")).otherwise(1.0)
-        .alias("presentation"))
-    damp = F.pow(F.lit(DAMPING), F.col("styles"))
-    return (branches.filter(F.col("m") >= LEAST_PAGES).join(layout, ["host", "path"], "left")
-            .withColumn("importance", F.when(F.col("styles").isNull(), F.col("content")).otherwise(
-                (1 - damp) * F.col("presentation") + damp * F.col("content")))
-            .filter(F.col("importance") < LEAST_IMPORTANCE).select("host", "path"))
-
-
-def main_text(html: str | None, removed: list[str] | None) -> str:
-    """The page's blocks outside the removed branches, one to a line."""
+    """``host, node`` of the branches of low importance, as codes. ``pages`` has ``host, html``.
+
+    A branch that holds half of its host's words or more is never one.
+    """
+    counted = (pages.mapInArrow(style_counts, NODES).groupBy("host", "node", "look", "feature")
+               .agg(F.sum("n").alias("n"), F.sum("words").alias("words"),
+                    F.max("around").alias("around")))
+    content, look = ~F.col("look"), F.col("look")
+    of = lambda test, value: F.sum(F.when(test, value).otherwise(0))
+    nodes = counted.groupBy("host", "node").agg(
+        of(content, 1).alias("features"), of(content, F.log("n")).alias("shared"),
+        of(look, F.col("n")).alias("seen"), of(look, F.col("n") * F.log("n")).alias("n_logs"),
+        F.sum("words").alias("words"), F.max("around").alias("around"))
+    # Of a node's looks: one less their entropy, against that of a look of its own on each page.
+    alike = F.when(F.col("seen") > 1, F.col("n_logs") / (F.col("seen") * F.log("seen"))).otherwise(0)
+    nodes = written(nodes.withColumn("alike", F.col("features") * alike), "style-nodes")
+    sums = [F.sum(c).alias(c) for c in ("features", "shared", "alike", "words")]
+    hosts = nodes.groupBy("host").agg(*(x.alias(f"all_{c}") for x, c in zip(
+        (F.sum(c) for c in ("features", "shared", "alike", "words")),
+        ("features", "shared", "alike", "words"))))
+    sized = hosts.join(pages.groupBy("host").agg(F.log(F.count(F.lit(1))).alias("most")), "host")
+    branches = (nodes.withColumn("node", F.explode("around")).groupBy("host", "node").agg(*sums)
+                .join(sized, "host").filter("most > 0 AND features > 0 AND 2 * words < all_words"))
+    rest = {c: F.col(f"all_{c}") - F.col(c) for c in ("features", "shared", "alike")}
+    among = F.greatest(rest["features"], F.lit(1))
+
+    def commonness(shared, looks, features):
+        return (1 - PRESENTATION) * shared / (features * F.col("most")) + PRESENTATION * looks / features
+
+    found, awaited = F.col("shared") / F.col("most"), (
+        F.col("features") * rest["shared"] / (among * F.col("most")))
+    return branches.filter(
+        (commonness(F.col("shared"), F.col("alike"), F.col("features"))
+         >= SHARED_TIMES * commonness(rest["shared"], rest["alike"], among))
+        & (found - awaited >= SHARED_ERRORS * F.sqrt(awaited + 0.25))).select("host", "node")
+
+
+def main_text(html: str | None, removed: list[int] | None, names: bool = True) -> str:
+    """The page's blocks outside the removed branches, one to a line; with ``names``, also
+    without what tags, roles and classes rule out, or is outside an article or main element."""
     blocks, _ = page_blocks(html)
-    if any(in_main for *_, in_main in blocks):
-        blocks = [b for b in blocks if b[2]]
-    gone = set(removed or ())
-    if gone:
-        kept = [b for b in blocks if not any(b[0] == g or b[0].startswith(g + "/") for g in gone)]
-        blocks = kept or blocks
-    return "\n".join(t for _, t, _ in blocks)
+    if names:
+        blocks = [b for b in blocks if not b.out]
+        if any(b.in_main for b in blocks):
+            blocks = [b for b in blocks if b.in_main]
+    if gone := set(removed or ()):
+        blocks = [b for b in blocks if gone.isdisjoint(branches_of(b.path))] or blocks
+    return "\n".join(b.text for b in blocks)
 
 
-def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def extract(names: bool):
     """For ``mapInArrow`` on ``id, url, html, removed``."""
-    for batch in batches:
-        texts = [main_text(h, r) for h, r in zip(batch.column(2).to_pylist(),
-                                                 batch.column(3).to_pylist())]
-        texts = [t.encode("utf-8", "replace").decode() for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
-             pa.array([len(t) for t in texts], pa.int64())],
-            names=["id", "url", "text", "n_chars"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(h, r, names) for h, r in zip(batch.column(2).to_pylist(),
+                                                            batch.column(3).to_pylist())]
+            texts = [t.encode("utf-8", "replace").decode() for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
+                 pa.array([len(t) for t in texts], pa.int64())],
+                names=["id", "url", "text", "n_chars"])
+    return run
 
 
 def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "url",
-               html_column: str = "html") -> DataFrame:
+               html_column: str = "html", names: bool = True) -> DataFrame:
     """One row per page: ``id, url, text, n_chars``.
 
     Character references are decoded, white space within a block becomes one space, and
     blocks follow each other in page order, one to a line. When a page has an article or
     main element, only what is in one counts. A null or empty page, or one of markup only,
     has an empty text. When the branches of low importance hold all of a page's text they
-    stay. Pages without a host share the empty host. Repeated rows each get a row; other
+    stay. Without ``names`` the style tree alone decides. Pages without a host share the empty host. Repeated rows each get a row; other
     columns are not read.
     """
     hosted = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"),
-                          F.col(html_column).alias("html"), url_host(url_column).alias("host"))
+                          F.col(html_column).alias("html"),
+                          F.xxhash64(url_host(url_column)).alias("host"))
     low = written(unimportant(hosted.select("host", "html")), "unimportant")
-    lists = low.groupBy("host").agg(F.collect_set("path").alias("removed"))
+    lists = low.groupBy("host").agg(F.collect_set("node").alias("removed"))
+    if low.count() <= BROADCAST_ROWS:       # two numbers a row
+        lists = F.broadcast(lists)
     kind = dict(pages.dtypes)[id_column]
-    return (hosted.join(small_side(written(lists, "unimportant-lists"), 20_000), "host", "left")
-            .select("id", "url", "html", "removed")
-            .mapInArrow(extract, f"id {kind}, url string, text string, n_chars bigint")
+    return (hosted.join(lists, "host", "left").select("id", "url", "html", "removed")
+            .mapInArrow(extract(names), f"id {kind}, url string, text string, n_chars bigint")
             .withColumnsRenamed({"id": id_column, "url": url_column}))

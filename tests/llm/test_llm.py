@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on odd rows."""
 
 import random
+import re
 import time
 import zlib
 from collections import Counter
@@ -528,6 +529,104 @@ def test_style_tree(spark):
     assert out[90] == "" and out[91] == "alone" and html_main.main_texts(df.limit(0)).count() == 0
 
 
+def style_pages():
+    """Five hosts of 2 to 60 pages with menus, adverts and footers in elements without names."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    pages, want = [], {}
+    for h, n in enumerate((60, 24, 24, 9, 2)):
+        menu, few = [word() for _ in range(6)], [word() for _ in range(5)]
+        for _ in range(n):
+            story = [" ".join(word() for _ in range(rng.randint(3, 40)))
+                     for _ in range(rng.randint(1, 9))]
+            items = "".join(f"<li><a href='/{m}'>{m}</a>" for m in menu)
+            html = (f"<body><div class=k{h}><ul>{items}</ul></div><div class=q>{rng.choice(few)} "
+                    f"{rng.choice(few)} {rng.choice(few)}</div><div class=z><h2>{story[0]}</h2>"
+                    + "".join(f"<p>{x}</p>" for x in story) + f"</div><div class=e>&copy; host {h} "
+                    "of all rights</div></body>")
+            pages.append((len(pages), f"http://h{h}.org/{len(pages)}", html))
+            want[len(want)] = "\n".join([story[0], *story])
+    return pages, want
+
+
+def brute_low(pages):
+    """The paths that the style tree removes, by plain counting over the pages of a host."""
+    log = lambda x: float(np.log(x))
+    above = lambda path: ["/".join(path.split("/")[:i]) for i in range(2, path.count("/") + 2)]
+    section = lambda path: re.sub(r"(/h[1-6][^/]*)+$", "", path)
+    shared, looks, sizes = Counter(), Counter(), Counter()
+    for html in pages:
+        blocks, parts = html_main.page_blocks(html)
+        own, children = {}, {}
+        for path in {b.path for b in blocks} | set(parts):
+            if section(path):
+                mine = [w for b in blocks if b.path == path for w in b.text.split(" ")]
+                names = "".join(dict.fromkeys(x for x in parts.get(path, []) if x[0] == "<"))
+                shared.update((section(path), f) for f in
+                              {*mine, *(x for x in parts.get(path, []) if x[0] != "<")})
+                looks[section(path), f"{names} {len(mine).bit_length()}"] += 1
+                sizes[section(path)] += len(mine)
+    m = log(len(pages))
+    node = {}
+    for path in sizes:
+        counts = [n for (p, _), n in shared.items() if p == path]
+        seen = [n for (p, _), n in looks.items() if p == path]
+        alike = sum(n * log(n) for n in seen) / (sum(seen) * log(sum(seen))) if sum(seen) > 1 else 0
+        node[path] = np.array([len(counts), sum(map(log, counts)), len(counts) * alike, sizes[path]])
+    total, low = sum(node.values()), set()
+    for branch in {b for path in node for b in above(path)}:
+        mine = sum(v for path, v in node.items() if branch in above(path))
+        rest = total - mine
+        if m and mine[0] and 2 * mine[3] < total[3]:
+            mean = lambda v: (0.9 * v[1] / m + 0.1 * v[2]) / max(v[0], 1)
+            awaited = mine[0] * rest[1] / m / max(rest[0], 1)
+            if mean(mine) >= 1.5 * mean(rest) and mine[1] / m - awaited >= 3 * (awaited + .25) ** .5:
+                low.add(branch)
+    return low
+
+
+def test_style_tree_alone(spark):
+    """Without lists of names: menus, adverts and footers go, articles stay, at any host size;
+    and the branches are those of plain counting."""
+    pages, want = style_pages()
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html_main.main_texts(df.repartition(7), names=False).collect()}
+    assert {p: t for p, t in out.items() if p < 117} == {p: t for p, t in want.items() if p < 117}
+    for page in (117, 118):       # two pages can't tell the advert's few words
+        assert out[page].endswith(want[page]) and "rights" not in out[page]
+    hosts = {}
+    for _, url, html in pages:
+        hosts.setdefault(url.split("/")[2], []).append(html)
+    low = {(r["host"], r["node"]) for r in html_main.unimportant(
+        df.select(F.split("url", "/")[2].alias("h"), "html")
+        .select(F.xxhash64("h").alias("host"), "html")).collect()}
+    codes = {r["h"]: r["x"] for r in spark.createDataFrame([(h,) for h in hosts], "h string")
+             .select("h", F.xxhash64("h").alias("x")).collect()}
+    assert low == {(codes[h], html_main.code_of(b)) for h, some in hosts.items() for b in brute_low(some)}
+
+
+def test_style_tree_on_copies(spark, folder):
+    """On the given pages it takes nothing from an article, not from near copies either."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    plain = {r["page_id"]: html_main.main_text(r["html"], None) for r in pages.collect()}
+    out = {r["page_id"]: r["text"] for r in html_main.main_texts(pages).collect()}
+    assert out == plain
+    alone = {r["page_id"]: r["text"] for r in html_main.main_texts(pages, names=False).collect()}
+    assert all(set(plain[p].split("\n")) <= set(alone[p].split("\n")) for p in plain)
+
+
+def test_html_odd(spark):
+    """Nulls, repeated rows, a very long page and ones of few pages' hosts."""
+    long_page = "<div class=t>" + "".join(f"<p>w{i} x{i}</p>" for i in range(30_000)) + "</div>"
+    rows = [(1, None, None), (None, "http://a.org/", "<p>one</p>"), (2, "http://a.org/", ""),
+            (2, "http://a.org/", ""), (3, "http://a.org/x", long_page), (3, "http://a.org/x", long_page)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = sorted((r["page_id"] or 0, len(r["text"].split("\n")), r["n_chars"])
+                 for r in html_main.main_texts(df).collect())
+    size = sum(len(f"w{i} x{i}") + 1 for i in range(30_000)) - 1
+    assert out == [(0, 1, 3), (1, 1, 0), (2, 1, 0), (2, 1, 0), (3, 30_000, size), (3, 30_000, size)]
+
+
 def test_pipeline(spark, odd, none, tmp_path):
     for name, table in (("odd", odd), ("none", none)):
         docs = table.drop("keep_id")
