@@ -295,15 +295,18 @@ def unimportant(pages: DataFrame) -> DataFrame:
 
     A branch that holds half of its host's words or more is never one.
     """
-    counted = (pages.mapInArrow(style_counts, NODES).groupBy("host", "node", "look", "feature")
-               .agg(F.sum("n").alias("n"), F.sum("words").alias("words"),
-                    F.max("around").alias("around")))
+    # Grouped by ``around``, which goes with the node, as its maximum would take a sort.
+    counted = (pages.mapInArrow(style_counts, NODES)
+               .groupBy("host", "node", "look", "feature", "around")
+               .agg(F.sum("n").alias("n"), F.sum("words").alias("words")))
     content, look = ~F.col("look"), F.col("look")
     of = lambda test, value: F.sum(F.when(test, value).otherwise(0))
-    nodes = counted.groupBy("host", "node").agg(
+    halves = counted.groupBy("host", "node", "around").agg(
         of(content, 1).alias("features"), of(content, F.log("n")).alias("shared"),
         of(look, F.col("n")).alias("seen"), of(look, F.col("n") * F.log("n")).alias("n_logs"),
-        F.sum("words").alias("words"), F.max("around").alias("around"))
+        F.sum("words").alias("words"))
+    nodes = halves.groupBy("host", "node").agg(F.max("around").alias("around"), *(
+        F.sum(c).alias(c) for c in ("features", "shared", "seen", "n_logs", "words")))
     # Of a node's looks: one less their entropy, against that of a look of its own on each page.
     alike = F.when(F.col("seen") > 1, F.col("n_logs") / (F.col("seen") * F.log("seen"))).otherwise(0)
     nodes = written(nodes.withColumn("alike", F.col("features") * alike), "style-nodes")
