@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from doctriage.functions import fixed
@@ -27,6 +33,47 @@ def read_labelled_tree(spark: SparkSession, root: str, key: str | None = None) -
                             if key else folder)
 
 
+def write_labelled_tree(df: DataFrame, path: str, label: str = "label", text: str = "text") -> None:
+    """Each row as a file of its own, of the text and a line end, below ``<label>=<its label>``.
+
+    Tasks write to a local or mounted folder, which they must share, themselves: a file is
+    one call there, and two processes started by Hadoop's local file system (for its mode and its
+    checksum's). Any other store is written by Spark. A file is named by its task and its text, so
+    that a task that runs again writes the same files.
+    """
+    rows = df.select(F.col(label).cast("string").alias(label), F.col(text).alias(text))
+    spark = df.sparkSession
+    store = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where = store.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(store).toUri()
+    if where.getScheme() != "file":
+        rows.write.option("maxRecordsPerFile", 1).partitionBy(label).text(path)
+        return
+    root = where.getPath()
+
+    def below(name: str | None) -> str:
+        """The folder of a label, named as Spark names the folders of a partitioned table."""
+        escaped = re.sub("[\\x01-\\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]",
+                         lambda c: f"%{ord(c[0]):02X}", name or "")
+        return f"{root}/{label}={escaped or '__HIVE_DEFAULT_PARTITION__'}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen, folders = TaskContext.get().partitionId(), Counter(), {}
+        for batch in batches:
+            for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name not in folders:
+                    folders[name] = below(name)
+                    os.makedirs(folders[name], exist_ok=True)
+                content = ((line or "") + "\n").encode()
+                file = f"{folders[name]}/part-{task:05d}-{hashlib.md5(content).hexdigest()}"
+                seen[file] += 1
+                with open(f"{file}-{seen[file]}.txt", "wb") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    os.makedirs(root)
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def suffix(name: Column | str) -> Column:
     """What follows the last dot; a name without a dot is its own suffix."""
     return F.substring_index(F.col(name) if isinstance(name, str) else name, ".", -1)

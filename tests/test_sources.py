@@ -30,6 +30,23 @@ def test_first_page(spark):
     assert [r["text"] for r in ocr.numbered_first_page(pages).collect()] == ["a"]
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_tree_is_written_as_spark_writes_it(spark, tmp_path, scheme):
+    labels = ["en", "", None, "a b", "a/b:c%=d", "\u00e9{[]}^?#*\"'\\\x01\x7f", "en", "..", "<x>"]
+    rows = [(name, text) for name in labels for text in ("one\ntwo", "", None, "\u00e9", "one\ntwo")]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    own, sparks = f"{scheme}{tmp_path}/own", f"{scheme}{tmp_path}/spark"
+    files.write_labelled_tree(df, own, "lang")
+    df.write.option("maxRecordsPerFile", 1).partitionBy("lang").text(sparks)
+
+    def found(root):
+        read = files.read_labelled_tree(spark, root, key="lang").select("label", "length", "content")
+        return sorted((r["label"], r["length"], bytes(r["content"])) for r in read.collect())
+    assert found(own) == found(sparks) and len(found(own)) == len(rows)
+    # Hadoop's local file system would have written checksums, with processes for their modes.
+    assert not [f for _, _, names in os.walk(tmp_path / "own") for f in names if f.endswith(".crc")]
+
+
 def test_labelled_tree(spark, tmp_path):
     for label, name in [("pan", "1.txt"), ("pan", "2.txt"), ("aadhar", "3.txt")]:
         os.makedirs(tmp_path / label, exist_ok=True)
