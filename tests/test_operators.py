@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from doctriage.functions.text import clean_text
 from doctriage.operators import bayes, corpus, metrics, splits, terms, vectors
 from doctriage.plans import catalog
+from doctriage.session import TASKS_A_SPLIT
 from doctriage.sources.tables import read_table
 
 DOCS = [(1, "x", "red red apple"), (2, "x", "red pear"), (3, "y", "blue sky blue"),
@@ -256,3 +257,27 @@ def test_tokenising_happens_once(spark, folder):
     plan = terms.document_frequency(train, clean_text("text"))._jdf.queryExecution(
         ).optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_texts_travel_instead_of_words_and_splits_are_dealt_to_several_tasks(spark):
+    n = spark.sparkContext.defaultParallelism + 3
+    many = spark.range(0, 100, 1, n).selectExpr("id", "concat('ab cd ab ', id + 10) AS text")
+    counts = terms.term_counts(many, "id", "text")
+    plan = counts._jdf.queryExecution().executedPlan().toString()       # from the last step down
+    assert plan.count("Exchange") == 1
+    assert plan.index("regexp_extract_all") < plan.index("Exchange")
+    assert terms.words_by_document(many, "id", "text").rdd.getNumPartitions() == n * TASKS_A_SPLIT
+    assert Counter(r["tf"] for r in counts.collect()) == {2: 100, 1: 200}
+
+
+def test_the_idf_is_not_sent_with_the_sums_of_naive_bayes(spark, docs, monkeypatch):
+    plans = []
+    monkeypatch.setattr(bayes, "written", lambda df, name: plans.append(
+        (name, df._jdf.queryExecution().optimizedPlan().toString())) or df)
+    model = bayes.fit_bayes(docs, "id", "text", "label")
+    sums = next(plan for name, plan in plans if name == "bayes-sums")
+    grouped = next(line for line in sums.splitlines() if "Aggregate [" in line)
+    assert "df#" in grouped and "idf#" not in grouped.split("], [")[0]
+    known = {r["term"]: r["idf"] for r in terms.fit_idf(
+        docs.filter("label IS NOT NULL"), "id", "text").table.collect()}
+    assert known and known == {r["term"]: r["idf"] for r in model.terms.collect()}
