@@ -36,9 +36,8 @@ def read_labelled_tree(spark: SparkSession, root: str, key: str | None = None) -
 def write_labelled_tree(df: DataFrame, path: str, label: str = "label", text: str = "text") -> None:
     """Each row as a file of its own, of the text and a line end, below ``<label>=<its label>``.
 
-    Tasks write to a local or mounted folder, which they must share, themselves: a file is
-    one call there, and two processes started by Hadoop's local file system (for its mode and its
-    checksum's). Any other store is written by Spark. A file is named by its task and its text, so
+    Tasks write to a local or mounted folder, which they must share, themselves: a
+    file is one call there, where Hadoop's local file system takes many times as long. Any other store is written by Spark. A file is named by its task and its text, so
     that a task that runs again writes the same files.
     """
     rows = df.select(F.col(label).cast("string").alias(label), F.col(text).alias(text))
