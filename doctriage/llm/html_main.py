@@ -12,12 +12,14 @@ so on) go as well, which is all there is to go by on a host of a single page.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from itertools import chain
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -29,6 +31,7 @@ from doctriage.session import written
 SHARED_TIMES = 1.5          # a branch of low importance is shared so much more than the rest
 SHARED_ERRORS = 3           # and by so many standard errors of its shared features
 PRESENTATION = 0.1          # weight of a branch's looks against its content
+KEPT_TAG = 200              # characters of a tag whose meaning a worker keeps
 MAX_DEPTH = 64              # deeper elements count as part of the one at this depth
 
 # --- fixed values: element and class names of HTML pages ---------------------------------
@@ -55,6 +58,9 @@ MAIN_TAGS = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# A tag whose quotes all follow an equals sign or white space and close, as nearly all do.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>"']*+)(?=[\s/>])"""
+                  r"""((?:[^"'>]++|(?<=[= \t\n\r\f])(?:"[^"]*+"|'[^']*+'))*+)>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -88,11 +94,9 @@ def attributes(tag: str) -> dict[str, str]:
 def events(html: str) -> Iterator[tuple[str, str, str]]:
     """``(kind, name, rest)``: text, open and close tags, in one pass over the page.
 
-    Searches for an end that isn't there are made once for each kind, so that a page of
-    broken openers still takes linear time.
+    An end that isn't there ends the page, so that a page of broken openers still takes linear time.
     """
     at, n = 0, len(html)
-    missing: set[str] = set()
     while at < n:
         opener = html.find("<", at)
         if opener < 0:
@@ -100,37 +104,39 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
             return
         if opener > at:
             yield "text", "", html[at:opener]
-        nxt = html[opener + 1:opener + 2]
-        if html.startswith("<!--", opener):
-            end = -1 if "-->" in missing else html.find("-->", opener + 4)
+        if plain := _TAG.match(html, opener):
+            closing, name, rest = plain.groups()
+            name, at = name.lower(), plain.end()
+        else:
+            nxt = html[opener + 1:opener + 2]
+            if html.startswith("<!--", opener):
+                end = html.find("-->", opener + 4)
+                if end < 0:
+                    return          # an open comment runs to the end of the page
+                at = end + 3
+                continue
+            if nxt in ("!", "?"):
+                end = html.find(">", opener)
+                if end < 0:
+                    return
+                at = end + 1
+                continue
+            closing = "/" if nxt == "/" else ""
+            found = _NAME.match(html, opener + 1 + len(closing))
+            if not found:
+                yield "text", "", "<"
+                at = opener + 1
+                continue
+            end = tag_end(html, opener)
             if end < 0:
-                missing.add("-->")
-                return              # an open comment runs to the end of the page
-            at = end + 3
-        elif nxt in ("!", "?"):
-            end = html.find(">", opener)
+                return              # an open tag runs to the end of the page
+            name, rest, at = found[0].lower(), html[found.end():end], end + 1
+        yield ("close" if closing else "open"), name, rest
+        if name in RAW and not closing:
+            end = find_close(html, f"</{name}", at)
             if end < 0:
                 return
-            at = end + 1
-        elif nxt.isalpha() and nxt.isascii() or nxt == "/" and _NAME.match(html, opener + 2):
-            closing = nxt == "/"
-            name = _NAME.match(html, opener + 1 + closing)[0].lower()
-            end = -1 if ">" in missing else tag_end(html, opener)
-            if end < 0:
-                missing.add(">")
-                return              # an open tag runs to the end of the page
-            at = end + 1
-            yield ("close" if closing else "open"), name, html[opener + 1 + closing + len(name):end]
-            if name in RAW and not closing:
-                key = f"</{name}"
-                end = -1 if key in missing else find_close(html, key, at)
-                if end < 0:
-                    missing.add(key)
-                    return
-                at = end
-        else:
-            yield "text", "", "<"
-            at = opener + 1
+            at = end
 
 
 def find_close(html: str, key: str, at: int) -> int:
@@ -159,6 +165,14 @@ def told_apart(name: str, attrs: dict[str, str], in_main: bool) -> tuple[str, bo
     return label, out
 
 
+@lru_cache(maxsize=20_000)
+def element(name: str, rest: str, in_main: bool) -> tuple[str, bool, bool, str]:
+    """Of an open tag: ``told_apart``, whether it is unseen, and its link target or image source."""
+    attrs = attributes(rest)
+    target = attrs.get("href" if name == "a" else "src" if name == "img" else "", "")
+    return *told_apart(name, attrs, in_main), unseen(name, attrs), target
+
+
 class Block(NamedTuple):
     path: str
     text: str
@@ -211,20 +225,20 @@ def page_blocks(html: str | None) -> tuple[list[Block], dict[str, list[str]]]:
                         break
                     if here not in INLINE:
                         break
-            attrs = attributes(rest)
             parent = stack[-1] if stack else ("", "", False, False, False)
-            label, out = told_apart(name, attrs, parent[3])
+            tell = element if len(rest) <= KEPT_TAG else element.__wrapped__
+            label, out, alone, target = tell(name, rest, parent[3])
             inline = name in INLINE
             if not inline:
                 flush()
-            if target := attrs.get("href" if name == "a" else "src" if name == "img" else ""):
+            if target:
                 parts.setdefault(parent[1], []).append(target)
             if name in VOID:
                 continue
             deep = inline or parent[1].count("/") >= MAX_DEPTH
             path = parent[1] if deep else f"{parent[1]}/{label}"
             # Inside a block, what is ruled out can only go here: blocks go as a whole.
-            hidden = parent[4] or unseen(name, attrs) or inline and out and not parent[2]
+            hidden = parent[4] or alone or inline and out and not parent[2]
             if not inline and not hidden:
                 parts.setdefault(parent[1], []).append(f"<{label}")
             if name in RAW:
@@ -262,7 +276,7 @@ def style_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number of its words; ``words`` and ``around`` go with looks.
     """
     for batch in batches:
-        content: Counter = Counter()
+        content: dict[tuple, Counter] = defaultdict(Counter)
         looks: Counter = Counter()
         sizes: Counter = Counter()
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -272,21 +286,26 @@ def style_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words.setdefault(block.path, []).extend(block.text.split(" "))
             for path in filter(branches_of, {*words, *parts}):
                 mine, more = words.get(path, []), parts.get(path, [])
-                content.update((host, path, f) for f in {*mine, *more} if f[0] != "<" or len(f) < 2)
+                content[host, path].update({f for f in {*mine, *more} if f[0] != "<" or len(f) < 2})
                 children = "".join(dict.fromkeys(x for x in more if x[0] == "<"))
                 look = host, path, f"{children} {len(mine).bit_length()}"
                 looks[look] += 1
                 sizes[look] += len(mine)
-        keys = [*content, *looks]
+        codes = {f: code_of(f) >> 32 for f in set().union(*content.values())}
+        places = [(host, branches_of(path)[0], len(counts)) for (host, path), counts in content.items()]
+        hosts, own, repeats = np.array(places, np.int64).reshape(-1, 3).T
+        n = int(repeats.sum())
         nodes = [branches_of(path) for _, path, _ in looks]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int64()),
-             pa.array([branches_of(k[1])[0] for k in keys], pa.int64()),
-             pa.array([False] * len(content) + [True] * len(looks), pa.bool_()),
-             pa.array([code_of(k[2]) >> 32 for k in keys], pa.int32()),
-             pa.array([*content.values(), *looks.values()], pa.int64()),
-             pa.array([0] * len(content) + [sizes[k] for k in looks], pa.int64()),
-             pa.array([None] * len(content) + nodes, pa.list_(pa.int64()))],
+            [pa.array(np.concatenate([np.repeat(hosts, repeats), np.array([k[0] for k in looks], np.int64)])),
+             pa.array(np.concatenate([np.repeat(own, repeats), np.array([k[0] for k in nodes], np.int64)])),
+             pa.array(np.arange(n + len(looks)) >= n),
+             pa.array([*map(codes.__getitem__, chain.from_iterable(content.values())),
+                       *(code_of(k[2]) >> 32 for k in looks)], pa.int32()),
+             pa.array([*chain.from_iterable(c.values() for c in content.values()), *looks.values()],
+                      pa.int64()),
+             pa.array([0] * n + [sizes[k] for k in looks], pa.int64()),
+             pa.array([None] * n + nodes, pa.list_(pa.int64()))],
             names=["host", "node", "look", "feature", "n", "words", "around"])
 
 

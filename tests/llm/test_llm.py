@@ -366,6 +366,21 @@ def test_packing(spark, odd, none):
     assert out[out.doc_id == 4].length.sum() == out[out.doc_id == 4].doc_tokens.iloc[0]
 
 
+def test_a_tag_seen_before_is_not_read_again(monkeypatch):
+    """A page's tags are read once each in all, odd quotes keep their meaning, long tags aren't kept."""
+    read, own = [], html_main.attributes
+    monkeypatch.setattr(html_main, "attributes", lambda tag: read.append(tag) or own(tag))
+    html_main.element.cache_clear()
+    long = "x" * 500
+    page = f"<div class='once a'><p>a</p></div><div class='once a'><p>b</p></div><a href='{long}'>c</a>" * 3
+    blocks, parts = html_main.page_blocks(page)
+    assert [b.text for b in blocks] == ["a", "b", "c"] * 3 and parts[""].count(long) == 3
+    assert read.count(" class='once a'") == 1 and read.count(f" href='{long}'") == 3
+    assert list(html_main.events("<style='x' a><b c=y\"z>t</b><i d='>'/>")) == [
+        ("open", "style='x'", " a"), ("open", "b", " c=y\"z"), ("text", "", "t"), ("close", "b", ""),
+        ("open", "i", " d='>'/")]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_pack_lengths(seed):
     rng = random.Random(seed)
