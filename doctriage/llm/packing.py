@@ -16,6 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,7 +26,18 @@ END_ID = 0
 GROUP_DOCUMENTS = 1024      # documents of a group, on average
 CACHE_PIECES = 500_000      # pieces of text whose ids a worker keeps
 BLOCK = 256                 # texts encoded together
-_GAP = re.compile(r"\s ")
+_GAP = re.compile(r"\s[ \n]")     # white space before a place to cut
+# Letters of Latin-1 and what may stand after them, each a token of its own to the tokenizer.
+_WORD = re.compile(r"(\n?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?%#)]*)")
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def byte_level(text: str) -> str:
+    """A text as byte-level tokenizers spell it: a character for each byte of its UTF-8."""
+    if text.isascii() and text.isprintable():
+        return text.replace(" ", "\u0120")
+    return text.encode().decode("latin-1").translate(_BYTES)
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,49 +51,84 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """Token ids of whole texts, with the ids of frequent pieces kept.
 
-    The tokenizer never joins characters across the start of a single space that follows
+    The tokenizer never joins characters across the start of a space or line end that follows
     another character than white space, so a text is cut there, and the ids of the pieces
-    are put together. A text with white space before a space is encoded in one. New pieces
-    are encoded together, one to a line: a line end there is a token of its own.
+    are put together. A text with other white space before a space or line end, or at either of
+    its ends, is encoded in one. New pieces are encoded together, one to a line: a line end there
+    is a token of its own. Words are cut, and told apart, a block of texts at a time.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_end, = self.ids("\n")
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {"": b""}
 
     def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def whole(self, text: str) -> bytes:
         return np.array(self.ids(text), "<u4").tobytes()
 
     def pieces(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each word after a space."""
-        plain = [w for w in words if "\n" not in w]
-        out = {w: self.whole(" " + w) for w in words if "\n" in w}
-        ids = np.array(self.ids("".join([f" {w}\n" for w in plain])), "<u4")
+        """The ids of each word after a space, or after the line end that it starts with."""
+        odd = {w for s in self.special for w in words if s in w}
+        out = {w: self.whole(w if w[0] == "\n" else f" {w}") for w in odd}
+        plain = [w for w in words if w not in odd]
+        found = list(map(_WORD.fullmatch, plain))
+        out |= self.letters({m[1] for m in found if m}.difference(self.kept))
+        lines = [w for w, m in zip(plain, found) if not m]
+        first = np.array([self.line_end], "<u4").tobytes()
+        ids = np.array(self.ids("".join([f"{w[1:]}\n" if w[0] == "\n" else f" {w}\n" for w in lines])),
+                       "<u4")
         ends = np.flatnonzero(ids == self.line_end)
-        data, starts = ids.tobytes(), np.r_[0, ends[:-1] + 1]
-        out.update((w, data[a:b]) for w, a, b in
-                   zip(plain, (4 * starts).tolist(), (4 * ends).tolist()))
+        data, starts = ids.tobytes(), np.r_[0, ends + 1][:-1]
+        out.update((w, first + data[a:b] if w[0] == "\n" else data[a:b]) for w, a, b in
+                   zip(lines, (4 * starts).tolist(), (4 * ends).tolist(), strict=True))
+        tails = {t: self.whole(t) if t else b"" for t in {m[2] for m in found if m}}
+        out.update([(m[0], (out.get(m[1]) or self.kept[m[1]]) + tails[m[2]]) for m in found if m and m[2]])
         return out
 
+    def letters(self, words: set[str]) -> dict[str, bytes]:
+        """The same of words of letters only, which need no search for where to cut them."""
+        tokenize, sizes, ids = self.tokenizer.model.tokenize, [], []
+        for w in words:
+            # The start is a token with the word after a space, one of its own after a line end.
+            if after_line := w[0] == "\n":
+                ids.append(self.line_end)
+            own = tokenize(byte_level(w[1:] if after_line else f" {w}"))
+            ids += [t.id for t in own]
+            sizes.append(len(own) + after_line)
+        data, ends = np.array(ids, "<u4").tobytes(), np.cumsum([0, *sizes]) * 4
+        return {w: data[a:b] for w, a, b in zip(words, ends[:-1].tolist(), ends[1:].tolist())}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
-        cut = [None if not t or t[0] == " " or t[-1] == " " or _GAP.search(t) else t.split(" ")
+        out = [self.whole(t) if not t or t[0].isspace() or t[-1].isspace() or _GAP.search(t) else None
                for t in texts]
-        known = self.kept
-        if missing := list(set().union(*(c[1:] for c in cut if c)).difference(known)):
+        # Each text as if after a line end, whose id is left out again.
+        cut = pc.split_pattern(pc.replace_substring(pa.array(
+            [f"\n{t}" for t, b in zip(texts, out) if b is None], pa.large_string()), "\n", " \n"), " ")
+        if not len(cut):
+            return out
+        words = pc.dictionary_encode(cut.flatten())
+        names, known = words.dictionary.to_numpy(zero_copy_only=False).tolist(), self.kept
+        each = list(map(known.get, names))
+        if missing := [w for w, b in zip(names, each) if b is None]:
             found = self.pieces(missing)
-            if len(known) + len(found) > CACHE_PIECES:
-                known = {**known, **found}      # for these texts only
-            else:
+            each = [found[w] if b is None else b for w, b in zip(names, each)]
+            if len(known) + len(found) <= CACHE_PIECES:
                 known.update(found)
-        return [self.whole(t) if c is None else self.whole(c[0]) + b"".join(
-            map(known.__getitem__, c[1:])) for t, c in zip(texts, cut)]
+        ids, sizes = np.frombuffer(b"".join(each), "<u4"), np.array([len(b) for b in each]) // 4
+        code = words.indices.to_numpy()
+        size = sizes[code]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[code] - ends + size, size)
+        data, at = ids[place].tobytes(), 4 * np.r_[0, ends][cut.offsets.to_numpy()]
+        found_texts = (data[a + 4:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
+        return [next(found_texts) if b is None else b for b in out]
 
 
 @lru_cache(maxsize=4)

@@ -366,6 +366,24 @@ def test_packing(spark, odd, none):
     assert out[out.doc_id == 4].length.sum() == out[out.doc_id == 4].doc_tokens.iloc[0]
 
 
+def test_encoder_spares_the_search_of_plain_words(monkeypatch):
+    """Words of letters, at line starts and before punctuation too, are merged by the model alone;
+    ids are those of the plain call, with a full cache too."""
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(packing.tokenizer_path(packing.TOKENIZER))
+    texts = ["Zorb quex\nfrabel zorb, zorb.\nÉtreque straße\nzorb%%%", "ends in a tab\t", "x y\t\nz", "next one\n",
+             "l'été d'un 's 'll\n're x'y", "a\u00a0b c\u2028d", "Q5 zorb5 _zorb\n5zorb ×÷ª", "\x1c x", "x\ty z", "\n", " "]
+    for cap, texts in ((500_000, texts), (3, texts), (3, ["only words", "and more words"]), (3, ["%&/ =%&/"]), (3, [])):
+        monkeypatch.setattr(packing, "CACHE_PIECES", cap)
+        encoder, searched = packing.Encoder(packing.tokenizer_path(packing.TOKENIZER)), []
+        own = encoder.ids
+        monkeypatch.setattr(encoder, "ids", lambda text: searched.append(text) or own(text))
+        for text, ids in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert not any("quex" in x or "frabel" in x or "traße" in x for x in searched)
+    assert packing.byte_level(" né ") == plain.pre_tokenizer.pre_tokenize_str(" né")[0][0] + "\u0120"
+
+
 def test_a_tag_seen_before_is_not_read_again(monkeypatch):
     """A page's tags are read once each in all, odd quotes keep their meaning, long tags aren't kept."""
     read, own = [], html_main.attributes
