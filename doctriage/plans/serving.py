@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from doctriage.functions import fixed
@@ -16,12 +15,12 @@ from doctriage.streaming import scoring
 KINDS = {"en": "bankStatement", "fr": "aadhar", "de": "pan", "es": "drivingLicense"}
 
 
-def stored_model(spark, folder) -> PipelineModel:
+def stored_model(spark, folder) -> learners.TableModel:
     """Naive Bayes on TF-IDF, fitted on the train part, stored and loaded."""
     train, _ = corpus_parts(spark, folder)
     kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
     train = train.withColumn("kind", F.try_element_at(kinds, F.col("lang")))
-    stages = vectors.tfidf_stages(train, "doc_id")
+    stages = vectors.tfidf_stages(train, "doc_id", table=True)
     fitted = learners.fit_classifier(train, stages, "kind", learners.naive_bayes)
     path = scratch_path(spark, "service-model")
     learners.save_model(spark, fitted.pipeline, path, "text")
@@ -95,6 +94,7 @@ def service_stream(spark, folder):
     corpus.concat_parts(table, table).repartition(
         spark.sparkContext.defaultParallelism).write.parquet(drop)
     stream = scoring.once(scoring.open_drop(spark, drop, table.schema))
-    results = scoring.classify_files(stream, model, "utility", "fixed")
-    scoring.drain_by_outcome(results, output, scratch_path(spark, "service-progress"))
-    return spark.read.schema(results.schema).parquet(output).select(*_RESULT)
+    scoring.drain_by_outcome(
+        stream, output, scratch_path(spark, "service-progress"),
+        lambda batch: scoring.classify_files(batch, model, "utility", "fixed").select(*_RESULT))
+    return spark.read.parquet(output).select(*_RESULT)
