@@ -90,3 +90,19 @@ def test_stream_by_batches_equals_batch(spark, fitted, asked, tmp_path):
     assert len(run()) == len(want) + 1
     with pytest.raises(ValueError):
         scoring.score(scoring.open_drop(spark, drop, asked.schema), fitted[1], "utility")
+
+
+def test_terms_of_one_document_are_not_broadcast(spark, monkeypatch):
+    """Fitting looks up only the terms of two documents or more; a cut vocabulary has no such rest."""
+    train = spark.createDataFrame(DOCS, "doc_id long, lang string, text string")
+    asked_for, join = [], terms.join_terms
+
+    def noted(rows, table, *rest, **more):
+        asked_for.append(sorted(r["term"] for r in table.collect()))
+        return join(rows, table, *rest, **more)
+
+    monkeypatch.setattr(terms, "join_terms", noted)
+    for settings in ({}, {"min_df": 2}, {"vocabulary_size": 3}):
+        stages = vectors.tfidf_stages(train, "doc_id", table=True, **settings)
+        learners.fit_classifier(train, stages, "lang", learners.naive_bayes)
+    assert asked_for[:2] == [["apple", "blue", "sky"]] * 2 and len(asked_for[2]) == 3
