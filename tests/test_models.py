@@ -34,6 +34,11 @@ def test_linear_floor(parts, learner):
     assert accuracy(learners.fit_classifier(train, stages, "lang", learner), test) >= 0.95
 
 
+def test_linear_svm_on_large_tables_fits_class_by_class():
+    """Four fits at once held four times the solver's vectors on the driver."""
+    assert [learners.linear_svm(n, 4).getParallelism() for n in (0, 700, 36_000, 360_000)] == [4, 4, 4, 1]
+
+
 def test_network_floor(parts):
     train, test = parts
     stages = vectors.binary_bag_stages(train)
